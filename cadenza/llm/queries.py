@@ -8,10 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import LOWER, UPPER, table
+from cadenza.llm.decontam import decontaminate
 from cadenza.llm.line_dedup import dedup_lines
+from cadenza.llm.packing import pack_documents
+from cadenza.llm.secret_scan import scan_secrets
 from cadenza.llm.simhash import simhash_groups
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts and digest of the base spans, and all spans, of every document."""
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of a document."""
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     return simhash_groups(table(spark, sf_dir, "documents"))
@@ -23,9 +45,19 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.size("items").cast("long").alias("n_items")
+    return out.select("doc_id", "n_words", "n_hit", items, F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secret_scan": op4_secret_scan,
+    "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
     "op9_line_dedup": op9_line_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 #: DuckDB SQL for dedup_lines with its default parameters, over documents.
@@ -44,6 +76,28 @@ lines AS (
   FROM marked GROUP BY doc_id
 )"""
 
+#: Words of whole texts by position, from 1, and all windows of the benchmark's items.
+WORDS = "regexp_extract_all(translate(coalesce(text, ''), '{U}', '{L}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')".format(U=UPPER, L=LOWER)
+DECONTAM_SQL = f"""
+docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+items AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM items WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT size FROM windows),
+places AS (
+  SELECT doc_id, size, k, array_to_string(w[k : k + size - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM docs, sizes WHERE len(w) >= size)
+), hits AS (SELECT p.doc_id, p.k, p.size, i.item_id FROM places p JOIN windows i ON p.size = i.size AND p.phrase = i.phrase),
+words AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS pos FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, item_id::varchar AS item FROM hits) GROUP BY doc_id)
+"""
+
 ORACLE: dict[str, str] = {
     "op9_line_dedup": "WITH" + LINES_SQL.format(docs="documents") + "SELECT doc_id, n_lines::bigint AS n_lines, n_dropped::bigint AS n_dropped, sha256(text) AS kept_sha256 FROM kept",
+    "op10_decontamination": "WITH"
+    + DECONTAM_SQL
+    + """SELECT d.doc_id, len(d.w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""",
 }
