@@ -7,7 +7,8 @@
    solved there by multiplicative weights: a length's price falls as it is
    covered, an unbounded-knapsack dynamic program finds the dearest pattern,
    and a whole number of copies of it is fixed (the rounding).  What is left is
-   packed from the longest length down, each pattern as often as it fits.
+   packed by best fit from the longest length down, each pattern as often as
+   it fits.
 4. Every piece gets its rank among the pieces of its length, by salted counts,
    and the rank alone names its sequence and offset.  The allocation that is
    broadcast has a row per pattern and length, whatever the input.
@@ -15,6 +16,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,46 +33,84 @@ RANKED = 4096
 #: Distinct words whose ids a worker remembers.
 WORDS = 400_000
 #: Patterns that multiplicative weights price before the rest is packed from the longest down.
-PRICED = 600
+PRICED = 160
 
 
-class Encoder:
-    """Ids of whole texts as little-endian uint32 bytes, word by word.
+def byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: itself if printable Latin-1, else one from U+0100 on."""
+    own = [c for c in range(256) if 0x21 <= c <= 0x7E or 0xA1 <= c <= 0xFF and c != 0xAD]
+    rest = iter(range(0x100, 0x200))
+    return [chr(c if c in own else next(rest)) for c in range(256)]
+
 
-    ``spaced`` says that the tokenizer drops ASCII white space and that no token
-    or normalisation crosses it, so words may be encoded on their own.
+class Encoder:
+    """Ids of whole texts as little-endian uint32 bytes.
+
+    A tokenizer that composes (NFC), folds white space and case, splits by a
+    pattern that drops white space, and then runs byte-level BPE, is run word by
+    word with a memory of words: none of its steps crosses ASCII white space.
+    Words of ASCII and Latin letters, which are composed already, go straight
+    to its BPE model; other words go through all of it.  Any other tokenizer
+    gets whole texts.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    PLAIN = re.compile(r"[!-~\u00c0-\u012f\u0131-\u017f]+")
+
+    def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path) as f:
+            made = json.load(f)
+        steps = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
+        splits = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and made["normalizer"]["normalizers"][1] == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} and [x["type"] for x in splits] == ["Split", "ByteLevel"] and (splits[0]["behavior"], splits[0]["invert"], splits[1]["add_prefix_space"], splits[1]["use_regex"], made["model"]["type"]) == ("Removed", True, False, False, "BPE")
+        if self.by_word:
+            self.split = regex.compile(splits[0]["pattern"]["Regex"]).findall
+            self.bpe = self.tokenizer.model.tokenize
+            self.letters = byte_letters()
         self.words: dict[bytes, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.parts: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not self.PLAIN.fullmatch(text):
+            return self._whole(text)
+        out = []
+        for part in self.split(text.lower()):
+            ids = self.parts.get(part)
+            if ids is None:
+                shown = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+                ids = self.parts[part] = b"".join(t.id.to_bytes(4, "little") for t in self.bpe(shown))
+            out.append(ids)
+        return b"".join(out)
 
     def __call__(self, text: str) -> bytes:
-        if not self.spaced:
-            return self._ids([text])[0]
+        if not self.by_word:
+            return self._whole(text)
         words = [w.lower() if w.isascii() else w for w in text.encode().split()]
         known = self.words
-        if len(known) > WORDS:
+        if len(known) > WORDS or len(self.parts) > WORDS:
             known.clear()
-        new = list({w for w in words if w not in known})
-        if new:
-            known.update(zip(new, self._ids([w.decode() for w in new]), strict=True))
+            self.parts.clear()
+        for w in words:
+            if w not in known:
+                known[w] = self._word(w)
         return b"".join(map(known.__getitem__, words))
 
 
-def pieces(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, capacity: int, end_id: int, spaced: bool, keep_ids: bool) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, capacity: int, end_id: int, keep_ids: bool) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) of every document's pieces."""
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer, spaced)
+        encode = Encoder(tokenizer)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -154,15 +195,31 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, *, priced: int
         weight *= np.exp(-rate * (before - left) / counts)
         weight /= weight.max()
     while (left > 0).any():
-        longest = int(np.nonzero(left)[0][-1])
-        left[longest] -= 1
-        pattern = fitting(volume, capacity - int(lengths[longest]), left > 0)
-        left[longest] += 1
-        pattern[longest] += 1
+        pattern, room = np.zeros(len(lengths), np.int64), capacity
+        there = np.nonzero(left)[0]
+        while room > 0 and (k := int(np.searchsorted(lengths[there], room, "right"))):
+            at = there[k - 1]
+            pattern[at] = min(left[at], room // int(lengths[at]))
+            room -= int(pattern[at] * lengths[at])
+            there = there[: k - 1]
         fix(pattern, 1.0)
     return out
 
 
+def fewest(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """The solution of fewest sequences over a few settings; stops at the lower bound by volume."""
+    best: list[tuple[np.ndarray, np.ndarray, int]] = []
+    least = None
+    for priced in (PRICED, PRICED // 4, 0):
+        found = solve(lengths, counts, capacity, priced=priced)
+        n = sum(copies for _, _, copies in found)
+        if least is None or n < least:
+            best, least = found, n
+        if least <= -(-int(lengths @ counts) // capacity):
+            break
+    return best
+
+
 def allocation(patterns: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
     """Rows (length, first rank, first sequence, count in a sequence, offset) by length and rank."""
     rows, taken, sequence = [], {}, 0
@@ -176,7 +233,7 @@ def allocation(patterns: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, spaced: bool = True, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """Pack the token ids of all documents into few sequences of at most ``capacity``.
 
     ``tokenizer`` is the path of a ``tokenizers`` file that every executor can
@@ -189,10 +246,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
     packed like others.  An empty table gives an empty result.  Only the named
     columns are read.
     """
-    rows = stash(pieces(docs, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, spaced=spaced, keep_ids=keep_ids), "pieces")
+    rows = stash(pieces(docs, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, keep_ids=keep_ids), "pieces")
     bars = sorted((r["length"], r["count"]) for r in rows.groupBy("length").count().collect())  # at most `capacity` rows
     lengths, counts = (np.array([b[k] for b in bars], np.int64) for k in (0, 1))
-    plan = allocation(solve(lengths, counts, capacity))
+    plan = allocation(fewest(lengths, counts, capacity))
     spread = rows.sparkSession.sparkContext.broadcast(plan)
 
     salts = rows.sparkSession.createDataFrame([(n, 1 + c // RANKED) for n, c in bars], "length long, salts long")

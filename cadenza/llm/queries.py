@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import LOWER, UPPER, table
 from cadenza.llm.decontam import decontaminate
+from cadenza.llm.epsilon_grid import near_vectors
+from cadenza.llm.host_text import extract_text
 from cadenza.llm.line_dedup import dedup_lines
+from cadenza.llm.lm_scoring import score_language
 from cadenza.llm.packing import pack_documents
+from cadenza.llm.pfp_dedup import dedup_substrings
+from cadenza.llm.pu_quality import score_quality
 from cadenza.llm.secret_scan import scan_secrets
 from cadenza.llm.simhash import simhash_groups
 
@@ -21,6 +26,23 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    out = dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    out = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, counts and digest of the base spans, and all spans, of every document."""
     found = scan_secrets(table(spark, sf_dir, "documents"))
@@ -29,6 +51,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of a document."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -39,6 +66,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    return score_language(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of every document."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -53,9 +85,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_quality": op2_quality,
+    "op3_html_text": op3_html_text,
     "op4_secret_scan": op4_secret_scan,
+    "op5_near_vectors": op5_near_vectors,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op8_language_scores": op8_language_scores,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
 }
@@ -76,6 +113,18 @@ lines AS (
   FROM marked GROUP BY doc_id
 )"""
 
+VECTORS_SQL = """
+WITH RECURSIVE links AS (
+  SELECT a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.98
+), reach(i, j) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.i, l.j FROM reach r JOIN links l ON l.i = r.j
+), least AS (SELECT i, min(j) AS component_id FROM reach GROUP BY i),
+counts AS (SELECT i, count(*) AS n FROM links GROUP BY i)
+SELECT e.vec_id, coalesce(c.n, 0)::bigint AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON l.i = e.vec_id LEFT JOIN counts c ON c.i = e.vec_id
+"""
+
 #: Words of whole texts by position, from 1, and all windows of the benchmark's items.
 WORDS = "regexp_extract_all(translate(coalesce(text, ''), '{U}', '{L}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')".format(U=UPPER, L=LOWER)
 DECONTAM_SQL = f"""
@@ -94,6 +143,7 @@ found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 """
 
 ORACLE: dict[str, str] = {
+    "op5_near_vectors": VECTORS_SQL,
     "op9_line_dedup": "WITH" + LINES_SQL.format(docs="documents") + "SELECT doc_id, n_lines::bigint AS n_lines, n_dropped::bigint AS n_dropped, sha256(text) AS kept_sha256 FROM kept",
     "op10_decontamination": "WITH"
     + DECONTAM_SQL
