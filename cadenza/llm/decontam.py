@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import stash
+from cadenza.llm.common import shared, stash
 
 #: Words that a row of the index gathers before it is closed; a longer document has a row of its own.
 SHARD_WORDS = 1 << 20
@@ -146,11 +146,12 @@ def intersect(w: Windows, terms: np.ndarray, counts: np.ndarray, keys: np.ndarra
 
 def search(index: DataFrame, windows: list[Windows], slop: int = 0) -> DataFrame:
     """Adds to each row of the index what it has of these windows: hit_start, hit_size, hit_item."""
-    spread = index.sparkSession.sparkContext.broadcast(windows)
+    spread = shared(index.sparkSession, windows)
     hits = "hit_start array<int>, hit_size array<int>, hit_item array<string>"
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema if not f.name.startswith("hit_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = spread()
         for b in batches:
             for i in range(b.num_rows):
                 r = b.slice(i, 1)
@@ -161,7 +162,7 @@ def search(index: DataFrame, windows: list[Windows], slop: int = 0) -> DataFrame
                 out: tuple[list, list, list] = ([], [], [])
                 if "hit_start" in r.schema.names:
                     out = tuple(r.column(c)[0].as_py() for c in ("hit_start", "hit_size", "hit_item"))
-                for w in spread.value:
+                for w in held:
                     which, start = intersect(w, terms, counts, keys, begins, slop)
                     out[0].extend(start.tolist())
                     out[1].extend([w.at.shape[1]] * len(start))

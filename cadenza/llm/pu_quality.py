@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.common import shared
+
 #: Rows of either side that the model is fitted on, at most.
 SAMPLE = 6000
 #: Bins of hashed byte 4-grams.
@@ -181,10 +183,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     are kept, except names that start with ``_held_out``, ``_score`` or ``_predicted``.
     """
     model = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)
-    spread = docs.sparkSession.sparkContext.broadcast(model)
+    spread = shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = spread.value
+        m = spread()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
