@@ -9,20 +9,20 @@ phrase.  That bounded overlap makes dictionary order settle every comparison
 of ``width`` bytes, and the parse contributes the order of occurrences.
 
 1. A scan parses the texts.  Within a block of documents equal phrases are
-   sorted together at once; the block then sends each bucket of trigger hashes
-   one packed row.
-2. A bucket merges its blocks into the dictionary, sorted by trigger, phrase
-   and occurrence.  All but the first occurrence of a phrase are covered
-   whole.  A first occurrence needs a closer look only if another phrase has
-   its trigger.
+   brought together at once and only the first goes on under its trigger.
+2. Sorted by trigger, phrase and occurrence, the phrases are the dictionary.
+   All but the first occurrence of a phrase are covered whole.  A first
+   occurrence needs a closer look only if another phrase has its trigger.
 3. The windows of those phrases, the dictionary's suffixes of at least ``width``
-   bytes, are put in suffix order per bucket, where equal windows are
+   bytes, are put in suffix order trigger by trigger, where equal windows are
    neighbours: all but the first occurrence are covered.
 4. The covered stretches meet their documents.
 
-A trigger that a documented sample of documents shows in many different
-phrases would crowd one bucket; its phrases are cut into single windows, which
-spread by their own hashes.  The sample decides the route only, not the result.
+Sorting is Spark's and may spill; a worker holds a batch, or the phrases of
+triggers up to GROUP.  A trigger with more phrases has its windows sorted as
+rows.  One that a sample of documents shows in many different phrases
+is cut into windows before the first shuffle already, so that they spread by
+their own hashes; the sample decides the route only, not the result.
 """
 
 from __future__ import annotations
@@ -40,9 +40,9 @@ from cadenza.llm.common import stash
 #: Bytes of a trigger.
 K = 24
 #: Bytes that one call of the parser handles, and that one block gathers.
-CHUNK, BLOCK = 1 << 18, 24 << 20
-#: Bytes of text for each bucket of the dictionary; phrases in each bucket of the closer look.
-BUCKET_BYTES, BUCKET_PHRASES = 32 << 20, 40_000
+CHUNK, BLOCK = 1 << 18, 8 << 20
+#: Phrases of one trigger that a worker may hold.
+GROUP = 20_000
 #: Documents in the sample for crowded triggers, and the share of them that makes a trigger crowded.
 SAMPLE, CROWDED = 4000, 0.01
 
@@ -174,17 +174,6 @@ def in_order(ids: pa.Array, uids: np.ndarray) -> np.ndarray:
     return out
 
 
-def firsts(keys: tuple[np.ndarray, ...], place: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order by keys, place and start; in it, where a new key begins, and what ties with its key's first."""
-    order = np.lexsort((at, place, *keys[::-1]))
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    p, a = place[order], at[order]
-    return order, new, (p == p[head]) & (a == a[head])
-
-
 def crowded_triggers(docs: DataFrame, width: int) -> np.ndarray:
     """Triggers that stand in different phrases in many documents of a sample of about SAMPLE documents."""
     share = max(1, docs.count() // SAMPLE)
@@ -200,32 +189,62 @@ def crowded_triggers(docs: DataFrame, width: int) -> np.ndarray:
     return np.array([r["t"] for r in found.where(F.col("count") > max(20, SAMPLE * CROWDED)).collect()], np.int64).view(np.uint64)
 
 
-def packed(rows: list[pa.RecordBatch], names: list[str]) -> dict[str, np.ndarray]:
-    """The binary columns of packed rows joined, with document numbers made their table's."""
-    kinds = {"trigger": np.uint64, "phrase": np.uint64, "doc": np.uint32, "at": np.uint32, "size": np.uint8, "more_doc": np.uint32, "more_at": np.uint32, "more_size": np.uint8}
-    out = {}
-    for n in names:
-        parts = [np.frombuffer(r, kinds[n]) for r in rows[n].to_pylist()]
-        if n.endswith("doc"):
-            before = np.cumsum([0, *(len(u) // 4 for u in rows["uids"].to_pylist())])
-            parts = [p.astype(np.int64) + k for p, k in zip(parts, before, strict=False)]
-        out[n] = np.concatenate(parts) if parts else np.empty(0, kinds[n])
-    return out
-
-
-def documents(rows: pa.Table) -> tuple[pa.Array, np.ndarray]:
-    return pa.concat_arrays([c.flatten() for c in rows["ids"].chunks]), np.concatenate([np.frombuffer(u, np.int32) for u in rows["uids"].to_pylist()])
+def dictionary(rows: DataFrame, kind: str) -> DataFrame:
+    """Spans (id, uid, at, size, closer, trigger) from rows (trigger, phrase, id, uid, place).
 
+    A place holds at, whether the row is known to be covered, and size.  Rows
+    that are all but first of their phrase are covered; first ones whose
+    trigger has other phrases are marked ``closer``; unique ones are left out.
+    """
 
-def as_spans(ids: pa.Array, uids: np.ndarray, doc: np.ndarray, at: np.ndarray, size: np.ndarray, **more) -> pa.Table:
-    return pa.table({"id": ids.take(pa.array(doc)), "uid": pa.array(uids[doc]), "at": pa.array(at.astype(np.int64)), "size": pa.array(size.astype(np.int32)), **more})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried: pa.RecordBatch | None = None  # the first row of the phrase so far
+        told = False  # whether it has been put out
 
+        def spans(b: pa.RecordBatch, pick: np.ndarray, closer: bool) -> pa.RecordBatch:
+            x = b.take(pa.array(pick))
+            place = x.column("place").to_numpy()
+            return pa.RecordBatch.from_arrays([x.column("id"), x.column("uid"), pa.array(place >> 9), pa.array((place & 255).astype(np.int32)), pa.array(np.full(len(pick), closer)), x.column("trigger")], names=["id", "uid", "at", "size", "closer", "trigger"])
 
-def covered(docs: DataFrame, width: int) -> DataFrame:
+        for b in batches:
+            known = (b.column("place").to_numpy() >> 8) & 1 == 1
+            if known.any():
+                yield spans(b, np.nonzero(known)[0], False)
+                b = b.take(pa.array(np.nonzero(~known)[0]))
+            if not b.num_rows:
+                continue
+            if carried is not None:
+                b = pa.concat_batches([carried, b])
+            trigger, phrase, uid, place = (b.column(c).to_numpy() for c in ("trigger", "phrase", "uid", "place"))
+            new = np.ones(b.num_rows, bool)
+            new[1:] = (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1])
+            heads = np.nonzero(new)[0]
+            head = heads[np.cumsum(new) - 1]
+            ids, theirs = b.column("id"), b.column("id").take(pa.array(head))
+            same = pc.fill_null(pc.equal(ids, theirs), False).to_numpy(zero_copy_only=False) | pc.and_(ids.is_null(), theirs.is_null()).to_numpy(zero_copy_only=False)
+            again = same & (uid == uid[head]) & (place == place[head])  # the head, or a repeated row
+            if len(gone := np.nonzero(~again)[0]):
+                yield spans(b, gone, False)
+            twin = np.zeros(len(heads), bool)
+            alike = trigger[heads[1:]] == trigger[heads[:-1]]
+            twin[1:] |= alike
+            twin[:-1] |= alike
+            fresh = twin.copy()
+            fresh[0] &= not (carried is not None and told)
+            if fresh.any():
+                yield spans(b, heads[fresh], True)
+            told = bool(twin[-1]) or (len(heads) == 1 and carried is not None and told)
+            carried = b.slice(heads[-1], 1)
+
+    # What is known to be covered goes anywhere, so that a common phrase does not crowd a task.
+    route = F.when(F.col("place").bitwiseAND(F.lit(256)) != 0, F.xxhash64("id", "place")).otherwise(F.col("trigger"))
+    dealt = rows.repartition(route).sortWithinPartitions("trigger", "phrase", "id", "uid", "place")
+    return dealt.mapInArrow(run, f"id {kind}, uid int, at long, size int, closer boolean, trigger long")
+
+
+def covered(docs: DataFrame, width: int, group: int = GROUP) -> DataFrame:
     """(id, uid, at, size) of stretches whose windows all start earlier too; docs: id, uid, text."""
     kind = docs.schema["id"].dataType.simpleString()
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 + total // BUCKET_BYTES
     crowded = docs.sparkSession.sparkContext.broadcast(crowded_triggers(docs, width))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,112 +253,124 @@ def covered(docs: DataFrame, width: int) -> DataFrame:
         def block(ids: list[pa.Array], uids: list[pa.Array], found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
             if not found:
                 return
-            id_, uid = pa.concat_arrays(ids), pa.concat_arrays(uids).to_numpy()
+            id_, uid = pa.concat_arrays(ids), pa.concat_arrays(uids)
             doc, at, size, trigger, phrase = (np.concatenate(x) for x in zip(*found, strict=True))
-            order, _, tied = firsts((trigger, phrase), in_order(id_, uid)[doc], at)
-            doc, at, size, trigger, phrase = doc[order], at[order], size[order], trigger[order], phrase[order]
-            edges = np.searchsorted(((trigger >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
-            for k in range(buckets):
-                s = slice(edges[k], edges[k + 1])
-                if s.start == s.stop:
-                    continue
-                used, own = np.unique(doc[s], return_inverse=True)
-                t, m = tied[s], ~tied[s]
-                cells = [trigger[s][t], phrase[s][t], own[t].astype(np.uint32), at[s][t].astype(np.uint32), size[s][t].astype(np.uint8), own[m].astype(np.uint32), at[s][m].astype(np.uint32), size[s][m].astype(np.uint8)]
-                listed = pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), id_.take(pa.array(used)))
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), listed, pa.array([uid[used].astype(np.int32).tobytes()]), *[pa.array([c.tobytes()], pa.binary()) for c in cells]], names=["bucket", "ids", "uids", *fields])
-
-        ids, uids, found, n, docs_so_far = [], [], [], 0, 0
+            by = in_order(id_, uid.to_numpy())[doc]
+            order = np.lexsort((at, by, phrase, trigger))
+            doc, at, size, trigger, phrase, by = (x[order] for x in (doc, at, size, trigger, phrase, by))
+            new = np.ones(len(order), bool)
+            new[1:] = (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1])
+            head = np.nonzero(new)[0][np.cumsum(new) - 1]
+            more = (by != by[head]) | (at != at[head])
+            place = (at << 9) | (more.astype(np.int64) << 8) | size
+            for lo in range(0, len(order), 1 << 16):
+                s = slice(lo, lo + (1 << 16))
+                pick = pa.array(doc[s])
+                yield pa.RecordBatch.from_arrays([pa.array(trigger[s].view(np.int64)), pa.array(phrase[s].view(np.int64)), id_.take(pick), uid.take(pick), pa.array(place[s])], names=["trigger", "phrase", "id", "uid", "place"])
+
+        ids, uids, found, n, so_far = [], [], [], 0, 0
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 raws = [(x or "").encode() for x in part.column("text").to_pylist()]
-                found += parser.texts(zip(range(docs_so_far, docs_so_far + len(raws)), raws, strict=True))
+                found += parser.texts(zip(range(so_far, so_far + len(raws)), raws, strict=True))
                 ids.append(part.column("id"))
                 uids.append(part.column("uid"))
-                docs_so_far += len(raws)
+                so_far += len(raws)
                 n += sum(map(len, raws))
                 if n >= BLOCK:
                     yield from block(ids, uids, found)
-                    ids, uids, found, n, docs_so_far = [], [], [], 0, 0
+                    ids, uids, found, n, so_far = [], [], [], 0, 0
         yield from block(ids, uids, found)
 
-    fields = ["trigger", "phrase", "doc", "at", "size", "more_doc", "more_at", "more_size"]
-    rows = docs.mapInArrow(parse, f"bucket int, ids array<{kind}>, uids binary, " + ", ".join(f"{f} binary" for f in fields))
-
-    def dictionary(t: pa.Table) -> pa.Table:
-        ids, uids = documents(t)
-        x = packed(t, fields)
-        order, new, tied = firsts((x["trigger"], x["phrase"]), in_order(ids, uids)[x["doc"]], x["at"])
-        trigger = x["trigger"][order]
-        heads = np.nonzero(new)[0]
-        near = trigger[heads]
-        twin = np.zeros(len(heads), bool)
-        twin[1:] |= near[1:] == near[:-1]
-        twin[:-1] |= near[1:] == near[:-1]
-        closer = tied & twin[np.cumsum(new) - 1]
-        some = ~tied | closer
-        pick = order[some]
-        whole = as_spans(ids, uids, x["doc"][pick], x["at"][pick], x["size"][pick], closer=pa.array(closer[some]), trigger=pa.array(x["trigger"][pick].view(np.int64)))
-        n = len(x["more_doc"])
-        return pa.concat_tables([whole, as_spans(ids, uids, x["more_doc"], x["more_at"], x["more_size"], closer=pa.array(np.zeros(n, bool)), trigger=pa.array(np.zeros(n, np.int64)))])
-
-    spans = stash(rows.groupBy("bucket").applyInArrow(dictionary, f"id {kind}, uid int, at long, size int, closer boolean, trigger long"), "spans")
-    look = spans.where("closer")
-    crowd = 1 + look.count() // BUCKET_PHRASES
+    keyed = f"trigger long, phrase long, id {kind}, uid int, place long"
+    spans = stash(dictionary(docs.mapInArrow(parse, keyed), kind), "spans")
+    look = spans.where("closer").select("id", "uid", "at", "size", "trigger")
+    big = stash(look.groupBy("trigger").count().where(F.col("count") > group).select("trigger"), "big")
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows_of(ids: list[pa.Array], uids: list[int], held: dict[int, tuple[list, list, list, list]]) -> Iterator[pa.RecordBatch]:
-            for k, (doc, at, size, text) in held.items():
-                used, own = np.unique(np.array(doc, np.int64), return_inverse=True)
-                listed = pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), pa.concat_arrays(ids).take(pa.array(used)))
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), listed, pa.array([np.array(uids, np.int32)[used].tobytes()]), pa.array([own.astype(np.uint32).tobytes()]), pa.array([np.array(at, np.uint32).tobytes()]), pa.array([np.array(size, np.uint8).tobytes()]), pa.array([b"".join(text)], pa.binary())], names=["bucket", "ids", "uids", "doc", "at", "size", "text"])
+    def meet(some: DataFrame) -> DataFrame:
+        wanted = some.groupBy("id", "uid").agg(F.collect_set(F.struct("at", "size", "trigger")).alias("look"))
+        return docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]) & (docs["uid"] == wanted["uid"])).select(docs["id"], docs["uid"], "text", "look")
 
-        ids, uids, held, n = [], [], {}, 0
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                raw = b.column("text")[i].as_py().encode()
-                ids.append(b.column("id").slice(i, 1))
-                uids.append(b.column("uid")[i].as_py())
-                for s in b.column("look")[i].as_py():
-                    for column, x in zip(held.setdefault(((s["trigger"] & 0xFFFFFFFFFFFFFFFF) >> 20) % crowd, ([], [], [], [])), (len(ids) - 1, s["at"], s["size"], raw[s["at"] : s["at"] + s["size"]]), strict=True):
-                        column.append(x)
-                    n += s["size"]
-                if n >= BLOCK // 2:
-                    yield from rows_of(ids, uids, held)
-                    ids, uids, held, n = [], [], {}, 0
-        yield from rows_of(ids, uids, held)
-
-    def suffixes(t: pa.Table) -> pa.Table:
-        ids, uids = documents(t)
-        x = packed(t, ["doc", "at", "size"])
-        size = x["size"].astype(np.int64)
-        buf = np.frombuffer(b"".join(t["text"].to_pylist()), np.uint8)
-        counts = size - width + 1
-        begin = np.cumsum(size) - size
-        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        p = np.repeat(begin, counts) + within
-        hashes = []
-        for seed in (4, 5):
-            roll = Rolling(seed)
-            hashes.append(roll.of(roll.sums(buf), p, width))
-        phrase = np.repeat(np.arange(len(size)), counts)
-        at = x["at"].astype(np.int64)[phrase] + within
-        order, _, tied = firsts(tuple(hashes), in_order(ids, uids)[x["doc"]][phrase], at)
-        gone = np.zeros(len(p), bool)
-        gone[order[~tied]] = True
-        edge = np.ones(len(p), bool)
-        edge[1:] = (gone[1:] != gone[:-1]) | (phrase[1:] != phrase[:-1])
-        run = np.nonzero(edge)[0]
-        long = np.diff(np.append(run, len(p)))
-        run, long = run[gone[run]], long[gone[run]]
-        return as_spans(ids, uids, x["doc"][phrase[run]], at[run], long + width - 1)
-
-    wanted = look.groupBy("id", "uid").agg(F.collect_set(F.struct("at", "size", "trigger")).alias("look"))
-    met = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]) & (docs["uid"] == wanted["uid"])).select(docs["id"], docs["uid"], "text", "look")
-    taken = met.mapInArrow(take, f"bucket int, ids array<{kind}>, uids binary, doc binary, at binary, size binary, text binary")
-    closer = taken.groupBy("bucket").applyInArrow(suffixes, f"id {kind}, uid int, at long, size int")
-    return spans.where("not closer").select("id", "uid", "at", "size").unionByName(closer)
+            for lo in range(0, b.num_rows, 64):
+                part = b.slice(lo, 64)
+                whose, out = [], ([], [], [])
+                for i in range(part.num_rows):
+                    raw = part.column("text")[i].as_py().encode()
+                    for s in part.column("look")[i].as_py():
+                        whose.append(i)
+                        for column, x in zip(out, (s["trigger"], s["at"], raw[s["at"] : s["at"] + s["size"]]), strict=True):
+                            column.append(x)
+                pick = pa.array(whose, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), part.column("id").take(pick), part.column("uid").take(pick), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["trigger", "id", "uid", "at", "text"])
+
+    taken = f"trigger long, id {kind}, uid int, at long, text binary"
+    small = meet(look.join(big, "trigger", "left_anti")).mapInArrow(take, taken)
+
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Covered spans of whole groups of a trigger; some groups are sorted together."""
+
+        def spans_of(t: pa.RecordBatch) -> pa.RecordBatch:
+            size = pc.binary_length(t.column("text")).to_numpy().astype(np.int64)
+            buf = np.frombuffer(b"".join(t.column("text").to_pylist()), np.uint8)
+            counts = size - width + 1
+            within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            p = np.repeat(np.cumsum(size) - size, counts) + within
+            one, two = (r.of(r.sums(buf), p, width) for r in rolls)
+            phrase = np.repeat(np.arange(len(size)), counts)
+            at = t.column("at").to_numpy()[phrase] + within
+            by = in_order(t.column("id"), t.column("uid").to_numpy())[phrase]
+            order = np.lexsort((at, by, two, one))  # equal windows together, the first occurrence first
+            new = np.ones(len(order), bool)
+            new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+            head = order[np.nonzero(new)[0][np.cumsum(new) - 1]]
+            gone = np.zeros(len(p), bool)
+            gone[order] = (by[order] != by[head]) | (at[order] != at[head])
+            edge = np.ones(len(p), bool)
+            edge[1:] = (gone[1:] != gone[:-1]) | (phrase[1:] != phrase[:-1])
+            run = np.nonzero(edge)[0]
+            long = np.diff(np.append(run, len(p)))
+            run, long = run[gone[run]], long[gone[run]]
+            pick = pa.array(phrase[run])
+            return pa.RecordBatch.from_arrays([t.column("id").take(pick), t.column("uid").take(pick), pa.array(at[run]), pa.array((long + width - 1).astype(np.int32))], names=["id", "uid", "at", "size"])
+
+        rolls = Rolling(4), Rolling(5)
+        held = None
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                held = part if held is None else pa.concat_batches([held, part])
+                trigger = held.column("trigger").to_numpy()
+                last = int(np.searchsorted(trigger, trigger[-1]))
+                if last >= 4096:
+                    yield spans_of(held.slice(0, last))
+                    held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield spans_of(held)
+
+    span = f"id {kind}, uid int, at long, size int"
+    out = spans.where("not closer").select("id", "uid", "at", "size").unionByName(small.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(suffixes, span))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolls = Rolling(4), Rolling(5)
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                t = b.slice(lo, 1024)
+                size = pc.binary_length(t.column("text")).to_numpy().astype(np.int64)
+                buf = np.frombuffer(b"".join(t.column("text").to_pylist()), np.uint8)
+                counts = size - width + 1
+                within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                p = np.repeat(np.cumsum(size) - size, counts) + within
+                whose = np.repeat(np.arange(len(size)), counts)
+                one, two = (pa.array(r.of(r.sums(buf), p, width).view(np.int64)) for r in rolls)
+                yield pa.RecordBatch.from_arrays([one, two, t.column("id").take(pa.array(whose)), t.column("uid").take(pa.array(whose)), pa.array(((t.column("at").to_numpy()[whose] + within) << 9) | width)], names=["trigger", "phrase", "id", "uid", "place"])
+
+    if not big.isEmpty():
+        crowd = meet(look.join(big, "trigger", "left_semi")).mapInArrow(take, taken).mapInArrow(windows, keyed)
+        out = out.unionByName(dictionary(crowd, kind).where("not closer").select("id", "uid", "at", "size"))
+    return out
 
 
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 100) -> DataFrame:
