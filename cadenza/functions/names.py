@@ -40,4 +40,4 @@ def track_key(path: Column) -> tuple[Column, Column, Column]:
 
 def last_number(text: Column, label: str) -> Column:
     """The number after the last ``label:`` in a report, as a double; null if there is none."""
-    return F.element_at(F.regexp_extract_all(text, F.lit(label + r":\s*(-?[0-9]+(?:\.[0-9]+)?)"), 1), -1).cast("double")
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(label + r":\s*(-?[0-9]+(?:\.[0-9]+)?)"), F.lit(1)), F.lit(-1)).cast("double")

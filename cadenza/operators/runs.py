@@ -43,8 +43,8 @@ def deltas(packets: DataFrame, coding: Coding = VBR8, values: str = "q") -> Data
     """
     q = F.col(values)
     low = -(1 << (coding.bits - 1))
-    n = F.size(q) - 1
-    plain = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: wrap(F.get(q, i) - F.get(q, i - 1), coding.bits))).otherwise(F.array().cast("array<int>"))
+    later = F.slice(q, 2, 1 << 20)
+    plain = F.zip_with(later, F.slice(q, 1, F.size(q) - 1), lambda b, a: wrap(b - a, coding.bits))
 
     def step(state: Column, delta: Column) -> Column:
         d = wrap(delta + state["carry"], coding.bits)
@@ -52,9 +52,10 @@ def deltas(packets: DataFrame, coding: Coding = VBR8, values: str = "q") -> Data
 
     start = F.struct(F.lit(0).alias("carry"), F.array().cast("array<int>").alias("out"))
     folded = F.when(F.array_contains("d", low), F.aggregate("d", start, step, lambda s: s["out"])).otherwise(F.col("d"))
-    rows = packets.withColumn("d", plain).withColumn("d", folded).withColumn("n", F.size("d"))
-    out = rows.select(*packets.columns, "n", F.posexplode("d").alias("i", "delta"))
-    return out.withColumn("next", F.get(q, F.col("i") + 1)).drop(values).withColumn("width", significant_bits(F.col("delta"), coding.bits))
+    rows = packets.withColumn("d", plain).withColumn("d", folded).withColumn("pair", F.arrays_zip(F.col("d").alias("d"), later.alias("next")))
+    kept = [c for c in packets.columns if c != values]
+    out = rows.select(*kept, F.size("d").alias("n"), F.posexplode("pair").alias("i", "pair"))
+    return out.select(*kept, "n", "i", F.col("pair.d").alias("delta"), F.col("pair.next").alias("next")).withColumn("width", significant_bits(F.col("delta"), coding.bits))
 
 
 def codes(rows: DataFrame, keys: list[str], coding: Coding = VBR8) -> DataFrame:
@@ -83,7 +84,7 @@ def codes(rows: DataFrame, keys: list[str], coding: Coding = VBR8) -> DataFrame:
     quiet, start, size = F.col("next") == 0, F.col("_a") + 1, F.col("_b") - F.col("_a") - 1
     tail = F.col("_b") == n
     place = i - start
-    longs = F.when(tail, size + (-size) % long).otherwise(size - size % long)  # samples that long codes stand for
+    longs = F.when(tail, size + F.pmod(-size, F.lit(long))).otherwise(size - size % long)  # samples that long codes stand for
     in_long = quiet & (place < longs)
     rest = size - longs
     in_short = quiet & ~in_long & (place - longs < rest - rest % short)
