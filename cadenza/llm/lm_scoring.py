@@ -42,9 +42,9 @@ DEPTH, CONTEXTS = 5, 1 << 16
 #: Stands before a text's first byte and ends every text; never a byte of UTF-8.
 EDGE = 0xFF
 #: Bytes of text that are counted or walked at a time, and that one block of words gathers.
-CHUNK, BLOCK = 1 << 20, 24 << 20
+CHUNK, BLOCK = 1 << 20, 8 << 20
 #: Bytes of text for each bucket of words.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 #: The word that ends a document; no word holds a line end.
 END = b"\n"
 
@@ -98,7 +98,7 @@ def gram_counts(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
             total += len(parts[-1][0])
             if len(parts) > 8:
                 parts = [merged(parts)]
-                if len(parts[0][0]) > 1 << 22:  # bounded memory
+                if len(parts[0][0]) > 1 << 21:  # bounded memory
                     yield from rows()
                     parts = []
         if parts:
@@ -124,11 +124,9 @@ class Tree:
     """The weighted context tree: the child of a node by byte (0: none), log10 of each symbol's probability."""
 
     def __init__(self, depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, deepest: int):
-        nodes, of = np.unique(np.stack([depth, context], axis=1), axis=0, return_inverse=True)
+        nodes, of = np.unique((depth.astype(np.int64) << 48) | context, return_inverse=True)
         size = len(nodes)
-        counts = np.zeros((size, 256), np.float32)
-        counts[of.ravel(), symbol] = n
-        level, ctx = nodes[:, 0], nodes[:, 1]
+        level, ctx = nodes >> 48, nodes & ((1 << 48) - 1)
         parent = np.zeros(size, np.int64)
         self.child = np.zeros((size, 256), np.uint16)
         starts = np.searchsorted(level, np.arange(deepest + 2))
@@ -137,23 +135,26 @@ class Tree:
             up = starts[d - 1] + np.searchsorted(ctx[starts[d - 1] : starts[d]], ctx[own] & ((1 << 8 * (d - 1)) - 1))
             parent[own] = up
             self.child[up, ctx[own] >> 8 * (d - 1)] = np.arange(own.start, own.stop)
-        rest = counts.copy()
-        np.subtract.at(rest, parent[1:], counts[1:])
-        np.maximum(rest, 0, out=rest)
         inner = np.zeros(size, bool)
         inner[parent[1:]] = True
         self.depth = deepest
         self.logp = np.zeros((size, 256), np.float32)
+        order = np.argsort(symbol, kind="stable")
+        of, symbol, n = of[order], symbol[order].astype(np.int64), n[order].astype(np.float64)
         for bit in range(8):
-            # Columns of a level are prefixes of `bit` bits; each splits into zeros and ones.
-            halves, others = (x.reshape(size, 2 << bit, -1).sum(axis=2, dtype=np.float64) for x in (counts, rest))
+            # A level has 2**bit decisions; up to eight are worked out together, from their symbols alone.
             for lo in range(0, 1 << bit, 8):
-                cols = slice(2 * lo, min(2 * lo + 16, 2 << bit))
-                one = self._ones(halves[:, cols], others[:, cols], parent, inner, starts)
-                share = 256 >> bit
+                some = min(8, (1 << bit) - lo)
+                first, last = np.searchsorted(symbol, (lo << (8 - bit), (lo + some) << (8 - bit)))
+                column = (symbol[first:last] >> (7 - bit)) - 2 * lo
+                halves = np.bincount(of[first:last] * 2 * some + column, n[first:last], size * 2 * some).reshape(size, -1)
+                others = halves.copy()
+                np.subtract.at(others, parent[1:], halves[1:])
+                np.maximum(others, 0, out=others)
+                one = self._ones(halves, others, parent, inner, starts)
                 p = np.stack([1 - one, one], axis=2).reshape(size, -1)
-                at = lo * share
-                self.logp[:, at : at + p.shape[1] * share // 2] += np.repeat(np.log10(p), share // 2, axis=1).astype(np.float32)
+                share = 256 >> bit
+                self.logp[:, lo * share : (lo + some) * share] += np.repeat(np.log10(p), share // 2, axis=1).astype(np.float32)
 
     def _ones(self, halves: np.ndarray, others: np.ndarray, parent: np.ndarray, inner: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The probability of a one at every node, for each decision (column pair)."""
@@ -178,21 +179,28 @@ class Tree:
             left[own] = left[up] * (1 - stop[up])
         return so_far + left * (stop * kt + (1 - stop) * (rb + 0.5) / (ra + rb + 1))
 
+    def tables(self) -> tuple[int, np.ndarray, np.ndarray]:
+        return self.depth, self.child, self.logp
+
     def scores(self, raws: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each text, its end included."""
-        buf, at, sizes = framed(raws, self.depth)
-        child, logp = self.child.ravel(), self.logp.ravel()
-        node = np.zeros(len(at), np.int32)
-        alive = np.arange(len(at))
-        where = at
-        now = node
-        for k in range(1, self.depth + 1):
-            step = child[(now << 8) | buf[where - k]]
-            on = step > 0
-            alive, where, now = alive[on], where[on], step[on].astype(np.int32)
-            node[alive] = now
-        each = logp[(node << 8) | buf[at]].astype(np.float64)
-        return np.add.reduceat(each, np.cumsum(sizes) - sizes)
+        return walked(self.tables(), raws)
+
+
+def walked(tables: tuple[int, np.ndarray, np.ndarray], raws: list[bytes]) -> np.ndarray:
+    """log10 of the probability of each text, its end included, under a tree's tables."""
+    buf, at, sizes = framed(raws, tables[0])
+    child, logp = tables[1].ravel(), tables[2].ravel()
+    node = np.zeros(len(at), np.int32)
+    alive = np.arange(len(at))
+    where = at
+    now = node
+    for k in range(1, tables[0] + 1):
+        step = child[(now << 8) | buf[where - k]]
+        on = step > 0
+        alive, where, now = alive[on], where[on], step[on].astype(np.int32)
+        node[alive] = now
+    each = logp[(node << 8) | buf[at]].astype(np.float64)
+    return np.add.reduceat(each, np.cumsum(sizes) - sizes)
 
 
 def fit_tree(docs: DataFrame, text_col: str, depth: int, contexts: int) -> Tree:
@@ -221,7 +229,7 @@ def word_rows(docs: DataFrame, tree, buckets: int, kind: str) -> DataFrame:
     types = [pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tree.value
+        tables = tree.value
 
         def block(ids: list[pa.Array], held: list[bool], sizes: list[int], scores: list[np.ndarray], terms: dict[bytes, int], stream: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             nonlocal done
@@ -240,14 +248,14 @@ def word_rows(docs: DataFrame, tree, buckets: int, kind: str) -> DataFrame:
             term, doc = pairs // n_docs, pairs % n_docs
             count = np.bincount(term, np.where(np.array(held)[doc], 0, times), len(by)).astype(np.uint32)
             hashes = hashes[by]
-            edges = np.searchsorted(((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
+            found, edges = np.unique(((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), return_index=True)
+            edges = np.append(edges, len(hashes))
             ranges = np.searchsorted(term, edges)
             holders = np.bincount(term, minlength=len(by)).astype(np.uint32)
-            for k in range(buckets):
+            for k, bucket in enumerate(found.tolist()):
                 t, p = slice(edges[k], edges[k + 1]), slice(ranges[k], ranges[k + 1])
-                if t.start < t.stop:
-                    packed = [hashes[t], count[t], holders[t], doc[p].astype(np.uint32), times[p].astype(np.uint32)]
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own]), pa.nulls(1, listed.type), *[pa.nulls(1, t) for t in types[:3]], pa.array([n_docs], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in packed]], names=names)
+                packed = [hashes[t], count[t], holders[t], doc[p].astype(np.uint32), times[p].astype(np.uint32)]
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([own]), pa.nulls(1, listed.type), *[pa.nulls(1, t) for t in types[:3]], pa.array([n_docs], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in packed]], names=names)
 
         def fresh() -> tuple:
             return [], [], [], [], {}, []
@@ -265,7 +273,7 @@ def word_rows(docs: DataFrame, tree, buckets: int, kind: str) -> DataFrame:
                 ids, held, sizes, scores, terms, stream = now
                 ids.append(b.column("id").slice(start, at - start))
                 held += b.column("held").slice(start, at - start).to_pylist()
-                scores.append(model.scores(raws))
+                scores.append(walked(tables, raws))
                 for raw in raws:
                     words = raw.split()
                     words.append(END)
@@ -288,7 +296,7 @@ def shares(rows: DataFrame, kind: str) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         home = t.filter(pc.is_valid(t["ids"])).select(["block", *names])
         words = t.filter(pc.is_null(t["ids"])).to_pylist()
-        empty = {"known": pa.nulls(home.num_rows, pa.list_(pa.int64())), "logs": pa.nulls(home.num_rows, pa.list_(pa.float64())), "tokens": pa.array([0] * home.num_rows, pa.int64()), "types": pa.array([0] * home.num_rows, pa.int64())}
+        empty = {"doc": pa.nulls(home.num_rows, pa.binary()), "known": pa.nulls(home.num_rows, pa.binary()), "logs": pa.nulls(home.num_rows, pa.binary()), "tokens": pa.array([0] * home.num_rows, pa.int64()), "types": pa.array([0] * home.num_rows, pa.int64())}
         for c, v in empty.items():
             home = home.append_column(c, v)
         if not words:
@@ -298,16 +306,18 @@ def shares(rows: DataFrame, kind: str) -> DataFrame:
         known, at = np.unique(np.concatenate(terms), return_inverse=True)
         total = np.bincount(at, np.concatenate(counts), len(known))
         per_row = np.split(total[at], np.cumsum([len(x) for x in terms])[:-1])
-        out = {"known": [], "logs": []}
-        for w, c, holders, doc, times in zip(words, per_row, cell("holders", np.uint32), cell("doc", np.uint32), cell("times", np.uint32), strict=True):
-            out["known"].append(np.bincount(doc, np.repeat(c > 0, holders) * times, w["n_docs"]).astype(np.int64))
-            out["logs"].append(np.bincount(doc, np.repeat(np.log10(c + 1), holders) * times, w["n_docs"]))
+        out = {"doc": [], "known": [], "logs": []}
+        for c, holders, doc, times in zip(per_row, cell("holders", np.uint32), cell("doc", np.uint32), cell("times", np.uint32), strict=True):
+            own, place = np.unique(doc, return_inverse=True)
+            out["doc"].append(own.tobytes())
+            out["known"].append(np.bincount(place, np.repeat(c > 0, holders) * times).astype(np.int64).tobytes())
+            out["logs"].append(np.bincount(place, np.repeat(np.log10(c + 1), holders) * times).tobytes())
         n = len(words)
         sums = ([int(total.sum())] + [0] * (n - 1), [int((total > 0).sum())] + [0] * (n - 1))  # once for the bucket
-        back = pa.table({"block": pa.array([w["block"] for w in words]), **{c: pa.nulls(n, home.schema.field(c).type) for c in names}, "known": pa.array(out["known"], pa.list_(pa.int64())), "logs": pa.array(out["logs"], pa.list_(pa.float64())), "tokens": pa.array(sums[0], pa.int64()), "types": pa.array(sums[1], pa.int64())})
+        back = pa.table({"block": pa.array([w["block"] for w in words]), **{c: pa.nulls(n, home.schema.field(c).type) for c in names}, **{c: pa.array(x, pa.binary()) for c, x in out.items()}, "tokens": pa.array(sums[0], pa.int64()), "types": pa.array(sums[1], pa.int64())})
         return pa.concat_tables([home, back])
 
-    return rows.groupBy("bucket").applyInArrow(run, f"block string, ids array<{kind}>, held array<boolean>, n_tokens array<long>, score array<double>, known array<long>, logs array<double>, tokens long, types long")
+    return rows.groupBy("bucket").applyInArrow(run, f"block string, ids array<{kind}>, held array<boolean>, n_tokens array<long>, score array<double>, doc binary, known binary, logs binary, tokens long, types long")
 
 
 def score_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, contexts: int = CONTEXTS, folds: int = 7, fold: int = 2) -> DataFrame:
@@ -326,7 +336,7 @@ def score_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out_fold(F.col(id_col), folds, fold).alias("held"))
-    tree = docs.sparkSession.sparkContext.broadcast(fit_tree(base.where(~F.col("held")), "text", depth, contexts))
+    tree = docs.sparkSession.sparkContext.broadcast(fit_tree(base.where(~F.col("held")), "text", depth, contexts).tables())
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = word_rows(base, tree, 1 + total // BUCKET_BYTES, kind)
     found = stash(shares(rows, kind), "shares")
@@ -336,8 +346,9 @@ def score_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def run(t: pa.Table) -> pa.Table:
         home = t.filter(pc.is_valid(t["ids"]))
         parts = t.filter(pc.is_null(t["ids"]))
-        known = np.sum([r.as_py() for r in parts["known"]], axis=0).astype(np.int64)
-        logs = np.sort(np.array([r.as_py() for r in parts["logs"]]), axis=0).sum(axis=0)  # the same sum whatever the rows' order
+        doc, known, logs = (np.concatenate([np.frombuffer(r.as_py(), d) for r in parts[c]]) for c, d in (("doc", np.uint32), ("known", np.int64), ("logs", np.float64)))
+        order = np.lexsort((logs, doc))  # the same sum whatever the rows' order
+        known, logs = np.bincount(doc, known).astype(np.int64), np.bincount(doc[order], logs[order])
         flat = lambda c: pa.concat_arrays([x.flatten() for x in home[c].chunks])
         n = flat("n_tokens").to_numpy()
         return pa.table({"id": flat("ids"), "held_out": flat("held"), "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), tokens), "base_score": logs - n * scale, "score": flat("score")})
