@@ -77,6 +77,7 @@ def write_sound(channels: DataFrame, form: str = "wav", bits: int = 16) -> DataF
 HEADER_SCHEMA = "file string, channels int, filter_id int, pcm_sample_rate long, frame_ms int, pcm_total_samples long, seek_entry_count long, compressed_total_samples long, codec_id int, flags int, compressed_rate long, reserved0 int"
 SEEK_SCHEMA = "file string, frame_idx int, tick long, file_offset long"
 PACKET_SCHEMA = "file string, frame_idx int, channel int, pkt_seq int, comp_samples int, payload binary"
+ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 SCHEMAS = {"header": HEADER_SCHEMA, "seek": SEEK_SCHEMA, "packets": PACKET_SCHEMA}
 
 
@@ -95,12 +96,12 @@ def read_container(files: DataFrame, part: str = "packets") -> DataFrame:
     """The header, seek table or packets of container files, through Spark's file source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in SCHEMAS[part].split(", ")]
+        columns = pa.schema([(name, ARROW[kind]) for name, kind in (f.split() for f in SCHEMAS[part].split(", "))])
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows = list(rows_of(path, content, part))
                 if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+                    yield pa.RecordBatch.from_pylist([dict(zip(columns.names, r, strict=True)) for r in rows], schema=columns)
 
     # A header needs its first bytes only.
     content = F.substring("content", 1, container.HEADER_SIZE) if part == "header" else F.col("content")
@@ -219,5 +220,7 @@ class FileSink(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make both data sources known, with pushdown of frame ranges."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SignalSource)
     spark.dataSource.register(FileSink)
