@@ -94,11 +94,18 @@ class Pair:
             self.rows.append(i + a)
             self.cols.append(j + c)
             return
-        halves = lambda s, e: [(s, e)] if e - s <= LEAF else [(s, s + (e - s) // 2 // LEAF * LEAF or s + LEAF), (s + (e - s) // 2 // LEAF * LEAF or s + LEAF, e)]
-        for s, e in halves(a, b):
-            for s2, e2 in halves(c, d):
+        for s, e in self.halves(a, b):
+            for s2, e2 in self.halves(c, d):
                 self.join(s, e, s2, e2)
 
+    @staticmethod
+    def halves(s: int, e: int) -> list[tuple[int, int]]:
+        """Two parts of whole leaves, or the stretch itself if it is a leaf."""
+        if e - s <= LEAF:
+            return [(s, e)]
+        middle = s + max(LEAF, (e - s) // 2 // LEAF * LEAF)
+        return [(s, middle), (middle, e)]
+
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         self.join(0, len(self.x), 0, len(self.y))
         return (np.concatenate(self.rows), np.concatenate(self.cols)) if self.rows else (np.empty(0, int), np.empty(0, int))
