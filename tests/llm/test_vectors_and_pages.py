@@ -13,7 +13,8 @@ def brute_links(rows, t):
     able = []
     for k, (_, v, label) in enumerate(rows):
         ok = label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)
-        able.append(np.array(v) / np.linalg.norm(v) if ok else None)
+        u = np.array(v) / np.abs(v).max() if ok else None  # no overflow in the norm
+        able.append(u / np.linalg.norm(u) if ok else None)
     n = len(rows)
     near = [[i != j and able[i] is not None and able[j] is not None and rows[i][2] == rows[j][2] and len(able[i]) == len(able[j]) and float(able[i] @ able[j]) >= t for j in range(n)] for i in range(n)]
     root = list(range(n))
