@@ -39,6 +39,13 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete all stashed tables; call it when no result that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cadenza")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared(spark: SparkSession, value: Any) -> Callable[[], Any]:
     """A broadcast whose classes travel with it; call it in a worker.  The value's size must be bounded."""
     held = spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -159,6 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, lab
 
     texts = docs.select(F.col(id_col), F.col(text_col).alias("_t")).join(F.broadcast(chosen), id_col).select("_t", "_p")
     got = texts.mapInArrow(run, "p boolean, x binary").toArrow()
+    if not got.num_rows:
+        return None
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(got.num_rows, -1)
     p = got["p"].to_numpy()
     if not p.any() or p.all():

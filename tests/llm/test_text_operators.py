@@ -1,6 +1,5 @@
 """Text operators against brute force, on small tables with awkward rows."""
 
-import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -472,5 +471,11 @@ def test_log_kt():
         assert abs(lm_scoring.log_kt(np.array([float(a)]), np.array([float(b)]))[0] - want) < 1e-8 * max(1, abs(want))
 
 
-def test_digest_helpers():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+def test_stash_and_sweep(spark):
+    from cadenza.llm.common import stash, sweep
+
+    kept = stash(spark.range(3), "numbers")
+    assert kept.count() == 3 and stash(spark.range(0), "none").count() == 0
+    sweep(spark)
+    with pytest.raises(Exception, match="numbers"):
+        spark.read.parquet(kept.inputFiles()[0])
