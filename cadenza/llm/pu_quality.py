@@ -121,10 +121,13 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
 
 
 def fit(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, seed: int = 7) -> Model:
-    both = np.concatenate([pos, unl])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 0.01
-    pos, unl = (((x - mean) / scale) / np.sqrt(pos.shape[1]) * 8 for x in (pos, unl))
-    scale = scale * np.sqrt(pos.shape[1]) / 8
+    n = len(pos) + len(unl)
+    mean = (pos.sum(axis=0, dtype=np.float64) + unl.sum(axis=0, dtype=np.float64)) / n
+    square = np.einsum("ij,ij->j", pos, pos, dtype=np.float64) + np.einsum("ij,ij->j", unl, unl, dtype=np.float64)
+    scale = (np.sqrt(np.maximum(square / n - mean * mean, 0)) + 0.01) * np.sqrt(pos.shape[1]) / 8
+    for x in (pos, unl):  # in place: the samples are the largest thing the driver holds
+        x -= mean.astype(np.float32)
+        x /= scale.astype(np.float32)
     if prior is None:
         rng = np.random.default_rng(seed)
         p, u = (rng.permutation(len(x)) for x in (pos, unl))
@@ -155,20 +158,21 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, lab
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 rows = features(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], names=["p", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary())], names=["p", "x"])
 
     texts = docs.select(F.col(id_col), F.col(text_col).alias("_t")).join(F.broadcast(chosen), id_col).select("_t", "_p")
     got = texts.mapInArrow(run, "p boolean, x binary").toArrow()
     if not got.num_rows:
         return None
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(got.num_rows, -1)
+    x = np.concatenate([np.frombuffer(b"".join(c.to_pylist()), np.float16) for c in got["x"].chunks]).reshape(got.num_rows, -1)
     p = got["p"].to_numpy()
     if not p.any() or p.all():
         return None
+    del got
     # The rows come in no set order; the fit must not depend on it.
     order = np.lexsort(x[:, :: max(1, x.shape[1] // 16)].T)
-    x, p = x[order], p[order].astype(bool)
-    return fit(x[p], x[~p])
+    p = p.astype(bool)
+    return fit(x[order[p[order]]].astype(np.float32), x[order[~p[order]]].astype(np.float32))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, threshold: float = 0.7) -> DataFrame:
