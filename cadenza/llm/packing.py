@@ -5,10 +5,9 @@
 2. The histogram of lengths (at most ``capacity`` rows) goes to the driver.
 3. The configuration program, "how often is each pattern of lengths used", is
    solved there by multiplicative weights: a length's price falls as it is
-   covered, an unbounded-knapsack dynamic program finds the dearest pattern,
-   and a whole number of copies of it is fixed (the rounding).  What is left is
-   packed by best fit from the longest length down, each pattern as often as
-   it fits.
+   covered, and an unbounded-knapsack dynamic program finds the dearest
+   pattern, which is used a little more.  The fractional use is rounded down
+   to whole copies, and what is left is packed by best fit.
 4. Every piece gets its rank among the pieces of its length, by salted counts,
    and the rank alone names its sequence and offset.  The allocation that is
    broadcast has a row per pattern and length, whatever the input.
@@ -32,8 +31,8 @@ from cadenza.llm.common import stash
 RANKED = 4096
 #: Distinct words whose ids a worker remembers.
 WORDS = 400_000
-#: Patterns that multiplicative weights price before the rest is packed from the longest down.
-PRICED = 160
+#: Steps of multiplicative weights; each prices one pattern.
+PRICED = 400
 
 
 def byte_letters() -> list[str]:
@@ -71,13 +70,29 @@ class Encoder:
             self.split = regex.compile(splits[0]["pattern"]["Regex"]).findall
             self.bpe = self.tokenizer.model.tokenize
             self.letters = byte_letters()
+            self.by_word = self.split("abc.") == ["abc", "."] and self.split("xyz,") == ["xyz", ","]
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _letters(self, word: bytes) -> bytes:
+        """Ids of a word of a-z alone, which the pattern does not split."""
+        part = word.decode()
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.parts[part] = b"".join(t.id.to_bytes(4, "little") for t in self.bpe(part))
+        return ids
+
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():
+            return self._letters(word)
+        if word[-1:] in b".," and word[:-1].isalpha():
+            return self._letters(word[:-1]) + self._word_by_pattern(word[-1:])
+        return self._word_by_pattern(word)
+
+    def _word_by_pattern(self, word: bytes) -> bytes:
         text = word.decode()
         if not self.PLAIN.fullmatch(text):
             return self._whole(text)
@@ -93,14 +108,13 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not self.by_word:
             return self._whole(text)
-        words = [w.lower() if w.isascii() else w for w in text.encode().split()]
+        words = text.encode().lower().split()  # folding A-Z first changes nothing: the tokenizer folds all
         known = self.words
         if len(known) > WORDS or len(self.parts) > WORDS:
             known.clear()
             self.parts.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self._word(w)
+        for w in set(words).difference(known):
+            known[w] = self._word(w)
         return b"".join(map(known.__getitem__, words))
 
 
@@ -154,46 +168,47 @@ def dearest(lengths: np.ndarray, prices: np.ndarray, room: int) -> np.ndarray:
     return out
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, *, priced: int = PRICED, rate: float = 2.0) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Patterns (lengths, count of each, copies) that use every piece exactly once.
+def weigh(lengths: np.ndarray, counts: np.ndarray, capacity: int, steps: int, rate: float = 0.2) -> tuple[list[tuple[np.ndarray, float]], np.ndarray, float]:
+    """Multiplicative weights on the configuration program: patterns with fractional use, covers, a lower bound.
 
-    ``lengths`` ascend and are distinct, ``counts`` are positive.
+    A length's weight falls with the share of its pieces that is covered; its
+    price is its weight over its count.  Total price over the dearest
+    pattern's is a dual solution, so it bounds the sequences from below.
+    """
+    log_weight = np.log(lengths / capacity * counts)
+    cover = np.zeros(len(lengths))
+    used: dict[bytes, list] = {}
+    bound = 0.0
+    for _ in range(steps):
+        weight = np.exp(log_weight - log_weight.max())
+        pattern = dearest(lengths, weight / counts, capacity)
+        bound = max(bound, weight.sum() / float(pattern @ (weight / counts)))
+        step = float((counts[pattern > 0] / pattern[pattern > 0]).min())
+        used.setdefault(pattern.tobytes(), [pattern, 0.0])[1] += step
+        cover += step * pattern / counts
+        log_weight -= rate * step * pattern / counts
+    return [(p, x) for p, x in used.values()], cover, bound
+
+
+def rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int, fractional: list[tuple[np.ndarray, float]]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Whole copies of the patterns, most used first, while pieces last; best fit for what is left.
+
+    Best fit takes the longest length left, then the longest that still goes
+    in, and uses such a pattern as often as its pieces allow.
     """
     out: list[tuple[np.ndarray, np.ndarray, int]] = []
     left = counts.astype(np.int64).copy()
 
-    def fix(pattern: np.ndarray, share: float) -> None:
-        used = np.nonzero(pattern)[0]
-        copies = max(1, int((left[used] // pattern[used]).min() * share))
-        left[used] -= copies * pattern[used]
-        out.append((lengths[used], pattern[used], copies))
-
-    def fitting(prices: np.ndarray, room: int, alive: np.ndarray) -> np.ndarray:
-        """The dearest pattern, cut to what is left and topped up until nothing more goes in."""
-        pattern = np.zeros(len(lengths), np.int64)
-        while room > 0:
-            able = alive & (left > pattern) & (lengths <= room)
-            if not able.any():
-                break
-            at = np.nonzero(able)[0]
-            add = np.minimum(dearest(lengths[at], prices[at], room), (left - pattern)[at])
-            pattern[at] += add
-            room -= int(add @ lengths[at])
-        return pattern
-
-    whole = lengths == capacity
-    if whole.any():
-        fix(whole.astype(np.int64), 1.0)
-    volume = lengths / capacity
-    weight = np.ones(len(lengths))
-    for _ in range(priced):
-        alive = left > 0
-        if not alive.any():
-            break
-        before = left.copy()
-        fix(fitting(volume * weight, capacity, alive), 0.25)
-        weight *= np.exp(-rate * (before - left) / counts)
-        weight /= weight.max()
+    def fix(pattern: np.ndarray, most: int | None) -> None:
+        some = np.nonzero(pattern)[0]
+        copies = int((left[some] // pattern[some]).min())
+        copies = copies if most is None else min(copies, most)
+        if copies:
+            left[some] -= copies * pattern[some]
+            out.append((lengths[some], pattern[some], copies))
+
+    for pattern, x in sorted(fractional, key=lambda p: -p[1]):
+        fix(pattern, int(x))
     while (left > 0).any():
         pattern, room = np.zeros(len(lengths), np.int64), capacity
         there = np.nonzero(left)[0]
@@ -202,20 +217,28 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, *, priced: int
             pattern[at] = min(left[at], room // int(lengths[at]))
             room -= int(pattern[at] * lengths[at])
             there = there[: k - 1]
-        fix(pattern, 1.0)
+        fix(pattern, None)
     return out
 
 
-def fewest(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """The solution of fewest sequences over a few settings; stops at the lower bound by volume."""
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, steps: int = PRICED) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Patterns (lengths, count of each, copies) that use every piece exactly once.
+
+    ``lengths`` ascend and are distinct, ``counts`` are positive.  The fractional
+    solution is rounded at a few scales (from none of it, which is best fit
+    alone, to full cover), and the fewest sequences win.
+    """
+    if not len(lengths):
+        return []
+    fractional, cover, bound = weigh(lengths, counts, capacity, steps)
     best: list[tuple[np.ndarray, np.ndarray, int]] = []
     least = None
-    for priced in (PRICED, PRICED // 4, 0):
-        found = solve(lengths, counts, capacity, priced=priced)
+    for scale in (1 / np.median(cover[cover > 0]), 1 / cover[cover > 0].min(), 0.5 / np.median(cover[cover > 0]), 0.0):
+        found = rounded(lengths, counts, capacity, [(p, x * scale) for p, x in fractional])
         n = sum(copies for _, _, copies in found)
         if least is None or n < least:
             best, least = found, n
-        if least <= -(-int(lengths @ counts) // capacity):
+        if least <= np.ceil(bound - 1e-6):
             break
     return best
 
@@ -249,7 +272,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
     rows = stash(pieces(docs, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, keep_ids=keep_ids), "pieces")
     bars = sorted((r["length"], r["count"]) for r in rows.groupBy("length").count().collect())  # at most `capacity` rows
     lengths, counts = (np.array([b[k] for b in bars], np.int64) for k in (0, 1))
-    plan = allocation(fewest(lengths, counts, capacity))
+    plan = allocation(solve(lengths, counts, capacity))
     spread = rows.sparkSession.sparkContext.broadcast(plan)
 
     salts = rows.sparkSession.createDataFrame([(n, 1 + c // RANKED) for n, c in bars], "length long, salts long")
