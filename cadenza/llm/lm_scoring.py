@@ -8,22 +8,26 @@ Krichevsky and Trofimov's rule and is weighted against its children,
 
 so that all depths are mixed by how well they code the training corpus.
 
-1. One scan counts the (depth + 1)-grams of all training documents; the counts
-   are merged and added up for every depth.
-2. The tree keeps the ``contexts`` most frequent contexts of the whole corpus,
-   a bound on the model's size (a context is never more frequent than its
-   suffix, so these form a tree); at an inner node all other contexts share
-   one further child, so no count is lost.  Weights and the predictions at
-   every node follow on the driver from at most contexts * 256 counts.
-3. One scan walks each text down the tree, and gathers its words.  Word counts
-   go to buckets of word hashes, packed by block of documents, together with
-   the documents that hold them, so a bucket adds up its words over the corpus
-   and sends back each document's share of the unigram base score.
+1. Texts are dealt into blocks of some megabytes, which are written.  Each block
+   lists its distinct (depth + 1)-grams with their counts in training documents,
+   in cells by bucket of context.
+2. The cells' sums are the leaves of the tree, and every context of the corpus is
+   a node.  A bucket has all contexts that end in the same three bytes, and works
+   out its part of the tree; of shorter contexts a table has one row for each
+   decision, grouped up and joined down depth by depth.  No process holds all.
+3. Buckets of cells meet the predictions of their contexts and send the log
+   probability of each gram back to its block, which scores its texts with them.
+4. Word counts go to buckets of word hashes, packed by block of documents,
+   together with the documents that hold them, so a bucket adds up its words
+   over the corpus and sends back each document's share of the unigram base
+   score.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,20 +35,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import stash
 from cadenza.llm.pu_quality import held_out_fold
 
-#: Context bytes, and the most contexts that the model keeps.
-DEPTH, CONTEXTS = 5, 1 << 16
+#: Context bytes.
+DEPTH = 5
 #: Stands before a text's first byte and ends every text; never a byte of UTF-8.
 EDGE = 0xFF
-#: Bytes of text that are counted or walked at a time, and that one block of words gathers.
+#: Bytes of text that are counted or scored at a time, and that one block gathers.
 CHUNK, BLOCK = 1 << 20, 8 << 20
-#: Bytes of text for each bucket of words.
+#: Bytes of text for each bucket of words, and of contexts.
 BUCKET_BYTES = 16 << 20
+#: Contexts are dealt to buckets by their last bytes, as many as TOP, and those by the rest by this prime.
+TOP, SPREAD = 3, 1_000_003
 #: The word that ends a document; no word holds a line end.
 END = b"\n"
 
@@ -76,35 +82,125 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return u, np.bincount(at, n, len(u)).astype(np.int64)
 
 
-def gram_counts(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
-    """(gram, n): the context bytes and symbol as one number, oldest byte on top."""
+def grams_of(raws: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every symbol with its context as one number, oldest byte on top; how many symbols each text has."""
+    buf, at, sizes = framed(raws, depth)
+    key = np.zeros(len(at), np.int64)
+    for k in range(depth, -1, -1):
+        key = (key << 8) | buf[at - k]
+    return key, sizes
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Ascending longs: their steps, byte by byte, compressed."""
+    return zlib.compress(np.diff(x, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    steps = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view(np.int64).ravel())
+
+
+def blocked(docs: DataFrame, kind: str) -> DataFrame:
+    """(block, pos, id, held, text): the rows with the block that each is dealt to and its place there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, done, pos, n = TaskContext.get().partitionId(), 0, 0, 0
+        for b in batches:
+            names, places = [], []
+            for size in pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist():
+                names.append(f"{own}-{done}")
+                places.append(pos)
+                pos, n = pos + 1, n + size + 1
+                if n >= BLOCK:
+                    done, pos, n = done + 1, 0, 0
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(places, pa.int32()), *(b.column(c) for c in ("id", "held", "text"))], names=["block", "pos", "id", "held", "text"])
+
+    return docs.mapInArrow(run, f"block string, pos int, id {kind}, held boolean, text string")
+
+
+def block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[int], list[bool], list[bytes]]]:
+    """Block, places, held-out marks and folded texts of rows that follow each other; a block may come in parts."""
+    now: tuple[str, list[int], list[bool], list[bytes]] | None = None
+    for b in batches:
+        block, pos, held, text = (b.column(c) for c in ("block", "pos", "held", "text"))
+        for i in range(b.num_rows):
+            if now is None or now[0] != block[i].as_py():
+                if now:
+                    yield now
+                now = (block[i].as_py(), [], [], [])
+            now[1].append(pos[i].as_py())
+            now[2].append(held[i].as_py())
+            now[3].append((text[i].as_py() or "").encode().lower())
+    if now:
+        yield now
+
+
+def with_packed_texts(blocks: DataFrame, kind: str) -> DataFrame:
+    """(block, pos, id, held, texts): the first row of each run of up to a chunk has the run's folded texts, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block, text = b.column("block").to_pylist(), b.column("text")
+            cells: list[bytes | None] = [None] * b.num_rows
+            start, size, raws = 0, 0, []
+            for i in range(b.num_rows):
+                raws.append((text[i].as_py() or "").encode().lower())
+                size += len(raws[-1])
+                if size >= CHUNK or i + 1 == b.num_rows or block[i + 1] != block[i]:
+                    cells[start] = zlib.compress(pickle.dumps(raws), 1)
+                    start, size, raws = i + 1, 0, []
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("block", "pos", "id", "held")), pa.array(cells, pa.binary())], names=["block", "pos", "id", "held", "texts"])
+
+    return blocks.mapInArrow(run, f"block string, pos int, id {kind}, held boolean, texts binary")
+
+
+def gram_cells(blocks: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """(bucket, block, grams, learned): a block's distinct grams by bucket of context, and their counts in training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, held, raws in block_runs(batches):
+            parts: list[tuple[np.ndarray, np.ndarray]] = []
+            for out in (False, True):
+                for some in in_chunks((r for r, h in zip(raws, held, strict=True) if h == out), CHUNK):
+                    u, n = np.unique(grams_of(some, depth)[0], return_counts=True)
+                    parts.append((u, np.zeros_like(n) if out else n))
+            keys, n = merged(parts)
+            home = (keys >> 8 & ((1 << 8 * min(TOP, depth)) - 1)) % SPREAD % buckets
+            order = np.argsort(home, kind="stable")
+            found, edges = np.unique(home[order], return_index=True)
+            cells = [[f(x) for x in np.split(c[order], edges[1:])] for c, f in ((keys, packed), (n, np.ndarray.tobytes))]
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array([block] * len(found)), *(pa.array(c, pa.binary()) for c in cells)], names=["bucket", "block", "grams", "learned"])
+
+    return blocks.mapInArrow(run, "bucket int, block string, grams binary, learned binary")
+
+
+def gram_counts(cells: DataFrame) -> DataFrame:
+    """(gram, n): every gram of the corpus, and how often training texts have it (0 for grams of held-out texts alone)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        total = 0
+        size = 0
 
         def rows() -> Iterator[pa.RecordBatch]:
             keys, n = merged(parts)
             for at in range(0, len(keys), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(n[at : at + (1 << 16)])], names=["gram", "n"])
 
-        texts = ((b.column(0)[i].as_py() or "").encode().lower() for b in batches for i in range(b.num_rows))
-        for raws in in_chunks(texts, CHUNK):
-            buf, at, _ = framed(raws, depth)
-            key = np.zeros(len(at), np.int64)
-            for k in range(depth, -1, -1):
-                key = (key << 8) | buf[at - k]
-            parts.append(np.unique(key, return_counts=True))
-            total += len(parts[-1][0])
-            if len(parts) > 8:
-                parts = [merged(parts)]
-                if len(parts[0][0]) > 1 << 21:  # bounded memory
-                    yield from rows()
-                    parts = []
+        for b in batches:
+            for grams, learned in zip(b.column("grams"), b.column("learned"), strict=True):
+                parts.append((unpacked(grams.as_py()), np.frombuffer(learned.as_py(), np.int64)))
+                size += len(parts[-1][0])
+                if size > 1 << 21:  # bounded memory
+                    parts = [merged(parts)]
+                    size = len(parts[0][0])
+                    if size > 1 << 20:
+                        yield from rows()
+                        parts, size = [], 0
         if parts:
             yield from rows()
 
-    return docs.select(text_col).mapInArrow(run, "gram long, n long")
+    return cells.select("grams", "learned").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -121,14 +217,17 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """The weighted context tree: the child of a node by byte (0: none), log10 of each symbol's probability."""
+    """The weighted context tree of a small corpus in one process, which ``gram_scores`` is tested against.
+
+    The child of a node by byte (0: none), log10 of each symbol's probability.
+    """
 
     def __init__(self, depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, deepest: int):
         nodes, of = np.unique((depth.astype(np.int64) << 48) | context, return_inverse=True)
         size = len(nodes)
         level, ctx = nodes >> 48, nodes & ((1 << 48) - 1)
         parent = np.zeros(size, np.int64)
-        self.child = np.zeros((size, 256), np.uint16)
+        self.child = np.zeros((size, 256), np.int32)
         starts = np.searchsorted(level, np.arange(deepest + 2))
         for d in range(1, deepest + 1):
             own = slice(starts[d], starts[d + 1])
@@ -203,51 +302,112 @@ def walked(tables: tuple[int, np.ndarray, np.ndarray], raws: list[bytes]) -> np.
     return np.add.reduceat(each, np.cumsum(sizes) - sizes)
 
 
-def fit_tree(docs: DataFrame, text_col: str, depth: int, contexts: int) -> Tree:
-    """The tree of all documents given."""
-    grams = stash(gram_counts(docs, text_col, depth).groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    every = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("g")) for d in range(depth + 1)]))
-    counts = stash(grams.select(every.alias("x"), "n").groupBy("x.d", "x.g").agg(F.sum("n").alias("n")).select("d", F.shiftright("g", 8).alias("c"), F.col("g").bitwiseAND(F.lit(255)).alias("s"), "n"), "counts")
-    totals = counts.groupBy("d", "c").agg(F.sum("n").alias("n"))
-    # The least frequency kept, in eighths of powers of two, from a histogram of at most some hundred rows.
-    grade = F.floor(8 * F.log2(F.col("n").cast("double")))
-    cut, kept = None, 0
-    for g, n in sorted(((r["g"], r["count"]) for r in totals.groupBy(grade.alias("g")).count().collect()), reverse=True):
-        if kept + n > contexts:
-            break
-        cut, kept = g, kept + n
-    if cut is None:
-        return Tree(*(np.array([0]) for _ in range(4)), depth)  # nothing to learn from
-    rows = counts.join(totals.where((grade >= cut) | (F.col("d") == 0)).select("d", "c"), ["d", "c"]).select("d", "c", "s", "n").toArrow()
-    return Tree(*(rows[x].to_numpy() for x in "dcsn"), depth)
-
-
-def word_rows(docs: DataFrame, tree, buckets: int, kind: str) -> DataFrame:
-    """Packed rows of one scan: each block's documents (with their model scores), and its words by bucket."""
+def subtree(grams: np.ndarray, n: np.ndarray, depth: int, top: int) -> list[tuple[np.ndarray, ...]]:
+    """(k, zeros, ones, log Pw, share of its own estimate) of all decisions, by depth from the longest contexts to ``top``.
+
+    ``k`` is the context's bytes, then a byte of a one and the bits decided
+    before.  A decision that training has nowhere has even odds at its node and
+    below, so grams of n = 0 change no other.
+    """
+    s = grams & 255
+    ones = np.concatenate([n * (s >> (7 - bit) & 1) for bit in range(8)])
+    k, at = np.unique(np.concatenate([(grams & ~255) | (1 << bit) | s >> (8 - bit) for bit in range(8)]), return_inverse=True)
+    a, b = np.bincount(at, np.tile(n, 8) - ones, len(k)), np.bincount(at, ones, len(k))
+    half, below, out = math.log(0.5), 0.0, []
+    for d in range(depth, top - 1, -1):
+        pe = np.where(a + b > 0, log_kt(a, b), 0.0)
+        pw = np.logaddexp(half + pe, half + below) if out else pe
+        out.append((k, a, b, pw, np.exp(np.minimum(half + pe - pw, 0)) if out else np.ones(len(k))))
+        k, at = np.unique(k & ((1 << 8 * d) - 1), return_inverse=True)
+        a, b, below = (np.bincount(at, x, len(k)) for x in (a, b, pw))
+    return out
+
+
+def log_gamma_of(x: Column) -> Column:
+    """``log_gamma`` as an expression."""
+    low = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5)
+    z = x + 6
+    r = 1 / (z * z)
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / z - F.log(low)
+
+
+def from_above(rows: DataFrame, top: int) -> DataFrame:
+    """(k, so_far, left): what shorter contexts say for a one, and the share they leave, at each decision of depth ``top``.
+
+    ``rows`` has (k, a, b, pw) of that depth.
+    """
+    a, b = F.col("a"), F.col("b")
+    pe = F.when(a + b == 0, 0.0).otherwise(log_gamma_of(a + 0.5) + log_gamma_of(b + 0.5) - log_gamma_of(a + b + 1) - math.log(math.pi))
+    x, y = math.log(0.5) + F.col("pe"), math.log(0.5) + F.col("below")
+    up = lambda d: F.col("k").bitwiseAND(F.lit((1 << 8 * d) - 1))
+    levels = [rows]
+    for d in range(top, 0, -1):
+        now = levels[-1].groupBy(up(d).alias("k")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("pw").alias("below")).withColumn("pe", pe)
+        now = now.withColumn("pw", F.greatest(x, y) + F.log1p(F.exp(-F.abs(x - y)))).withColumn("stop", F.exp(F.least(x - F.col("pw"), F.lit(0.0))))
+        levels.append(stash(now.select("k", "a", "b", "pw", "stop"), f"level{d - 1}"))
+    kt = (b + 0.5) / (a + b + 1)
+    above = levels.pop().withColumns({"so_far": F.lit(0.0), "left": F.lit(1.0)})
+    for d, level in enumerate(reversed(levels), 1):
+        own = F.col("left") * F.col("stop")
+        above = above.select(F.col("k").alias("up"), (F.col("so_far") + own * kt).alias("so_far"), (F.col("left") - own).alias("left"))
+        above = level.withColumn("up", up(d)).join(above, "up")
+    return above.select("k", "so_far", "left")
+
+
+def gram_scores(cells: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """(block, grams, scores): log10 of the probability of each gram's symbol after its context."""
+    top = min(TOP, depth)
+    bucket = lambda context: (context.bitwiseAND(F.lit((1 << 8 * top) - 1)) % SPREAD % buckets).cast("int").alias("bucket")
+    counts = stash(gram_counts(cells).select(bucket(F.shiftright("gram", 8)), "gram", "n"), "grams")
+
+    def tops(t: pa.Table) -> pa.Table:
+        k, a, b, pw, _ = subtree(t["gram"].to_numpy(), t["n"].to_numpy(), depth, top)[-1]
+        return pa.table({"k": k, "a": a, "b": b, "pw": pw})
+
+    rows = stash(counts.groupBy("bucket").applyInArrow(tops, "k long, a double, b double, pw double"), "tops")
+    model = counts.unionByName(from_above(rows, top).select(bucket(F.shiftright("k", 8)), "k", "so_far", "left"), allowMissingColumns=True)
+
+    def run(model: pa.Table, asked: pa.Table) -> pa.Table:
+        learned, above = model.filter(pc.is_valid(model["gram"])), model.filter(pc.is_valid(model["k"])).sort_by("k")
+        levels = subtree(learned["gram"].to_numpy(), learned["n"].to_numpy(), depth, top)
+        one, left = above["so_far"].to_numpy(), above["left"].to_numpy()
+        before = above["k"].to_numpy()
+        for d, (k, a, b, _, stop) in zip(range(top, depth + 1), reversed(levels), strict=True):
+            at = np.searchsorted(before, k & ((1 << 8 * d) - 1)) if d > top else np.arange(len(k))
+            one, left, before = one[at] + left[at] * stop * (b + 0.5) / (a + b + 1), left[at] * (1 - stop), k
+        grams = [unpacked(g.as_py()) for g in asked["grams"]]
+        known = np.unique(np.concatenate(grams))
+        symbol, logs = known & 255, np.zeros(len(known))
+        for bit in range(8):
+            p = one[np.searchsorted(before, (known & ~255) | (1 << bit) | symbol >> (8 - bit))]
+            logs += np.log10(np.where(symbol >> (7 - bit) & 1, p, 1 - p))
+        logs = logs.astype(np.float32)
+        return pa.table({"block": asked["block"], "grams": asked["grams"], "scores": pa.array([logs[np.searchsorted(known, g)].tobytes() for g in grams], pa.binary())})
+
+    return model.groupBy("bucket").cogroup(cells.select("bucket", "block", "grams").groupBy("bucket")).applyInArrow(run, "block string, grams binary, scores binary")
+
+
+def word_cells(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Each block's words by bucket, packed, with the places of the documents that hold them."""
     fields = ["terms", "counts", "holders", "doc", "times"]
-    schema = f"bucket int, block string, ids array<{kind}>, held array<boolean>, n_tokens array<long>, score array<double>, n_docs int, " + ", ".join(f"{f} binary" for f in fields)
-    types = [pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = tree.value
-
-        def block(ids: list[pa.Array], held: list[bool], sizes: list[int], scores: list[np.ndarray], terms: dict[bytes, int], stream: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            nonlocal done
-            own, done = f"{TaskContext.get().partitionId()}-{done}", done + 1
-            names = ["bucket", "block", "ids", "held", "n_tokens", "score", "n_docs", *fields]
-            listed = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.concat_arrays(ids))
-            cells = [pa.array([x], t) for x, t in zip((held, sizes, np.concatenate(scores).tolist(), len(held)), types, strict=True)]
-            home = buckets + xxhash.xxh32_intdigest(own) % buckets  # apart from the words, and spread like them
-            yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.array([own]), listed, *cells, *[pa.nulls(1, pa.binary())] * 5], names=names)
+        for block, pos, held, raws in block_runs(batches):
+            terms: dict[bytes, int] = {}
+            stream: list[np.ndarray] = []
+            for raw in raws:
+                words = raw.split()
+                words.append(END)
+                stream.append(np.fromiter((terms.setdefault(w, len(terms)) for w in words), np.int64, len(words)))
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64, len(terms))
             by = np.argsort(hashes)
             place = np.empty(len(by), np.int64)
             place[by] = np.arange(len(by))
-            n_docs = len(sizes)
-            pairs, times = np.unique(place[np.concatenate(stream)] * n_docs + np.repeat(np.arange(n_docs), sizes), return_counts=True)
+            n_docs = len(raws)
+            pairs, times = np.unique(place[np.concatenate(stream)] * n_docs + np.repeat(np.arange(n_docs), [len(x) for x in stream]), return_counts=True)
             term, doc = pairs // n_docs, pairs % n_docs
             count = np.bincount(term, np.where(np.array(held)[doc], 0, times), len(by)).astype(np.uint32)
-            hashes = hashes[by]
+            hashes, doc = hashes[by], np.array(pos)[doc]
             found, edges = np.unique(((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), return_index=True)
             edges = np.append(edges, len(hashes))
             ranges = np.searchsorted(term, edges)
@@ -255,72 +415,36 @@ def word_rows(docs: DataFrame, tree, buckets: int, kind: str) -> DataFrame:
             for k, bucket in enumerate(found.tolist()):
                 t, p = slice(edges[k], edges[k + 1]), slice(ranges[k], ranges[k + 1])
                 packed = [hashes[t], count[t], holders[t], doc[p].astype(np.uint32), times[p].astype(np.uint32)]
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([own]), pa.nulls(1, listed.type), *[pa.nulls(1, t) for t in types[:3]], pa.array([n_docs], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in packed]], names=names)
-
-        def fresh() -> tuple:
-            return [], [], [], [], {}, []
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block]), *[pa.array([x.tobytes()], pa.binary()) for x in packed]], names=["bucket", "block", *fields])
 
-        now, n, done = fresh(), 0, 0
-        for b in batches:
-            at = 0
-            while at < b.num_rows:
-                raws: list[bytes] = []
-                start, size = at, 0
-                while at < b.num_rows and size < CHUNK:
-                    raws.append((b.column("text")[at].as_py() or "").encode().lower())
-                    size += len(raws[-1])
-                    at += 1
-                ids, held, sizes, scores, terms, stream = now
-                ids.append(b.column("id").slice(start, at - start))
-                held += b.column("held").slice(start, at - start).to_pylist()
-                scores.append(walked(tables, raws))
-                for raw in raws:
-                    words = raw.split()
-                    words.append(END)
-                    sizes.append(len(words))
-                    stream.append(np.fromiter((terms.setdefault(w, len(terms)) for w in words), np.int64, len(words)))
-                n += size
-                if n >= BLOCK:
-                    yield from block(*now)
-                    now, n = fresh(), 0
-        if now[0]:
-            yield from block(*now)
-
-    return docs.mapInArrow(run, schema)
+    return blocks.mapInArrow(run, "bucket int, block string, " + ", ".join(f"{f} binary" for f in fields))
 
 
-def shares(rows: DataFrame, kind: str) -> DataFrame:
-    """For each block and bucket: its documents' known tokens and sums of log10(count + 1), and the bucket's totals."""
-    names = ["ids", "held", "n_tokens", "score"]
+def shares(cells: DataFrame) -> DataFrame:
+    """For each block and bucket: its documents' tokens, known tokens and sums of log10(count + 1), and the bucket's totals."""
 
     def run(t: pa.Table) -> pa.Table:
-        home = t.filter(pc.is_valid(t["ids"])).select(["block", *names])
-        words = t.filter(pc.is_null(t["ids"])).to_pylist()
-        empty = {"doc": pa.nulls(home.num_rows, pa.binary()), "known": pa.nulls(home.num_rows, pa.binary()), "logs": pa.nulls(home.num_rows, pa.binary()), "tokens": pa.array([0] * home.num_rows, pa.int64()), "types": pa.array([0] * home.num_rows, pa.int64())}
-        for c, v in empty.items():
-            home = home.append_column(c, v)
-        if not words:
-            return home
+        words = t.to_pylist()
         cell = lambda c, d: [np.frombuffer(w[c], d) for w in words]
         terms, counts = cell("terms", np.uint64), cell("counts", np.uint32)
         known, at = np.unique(np.concatenate(terms), return_inverse=True)
         total = np.bincount(at, np.concatenate(counts), len(known))
         per_row = np.split(total[at], np.cumsum([len(x) for x in terms])[:-1])
-        out = {"doc": [], "known": [], "logs": []}
+        out = {"doc": [], "every": [], "known": [], "logs": []}
         for c, holders, doc, times in zip(per_row, cell("holders", np.uint32), cell("doc", np.uint32), cell("times", np.uint32), strict=True):
             own, place = np.unique(doc, return_inverse=True)
             out["doc"].append(own.tobytes())
+            out["every"].append(np.bincount(place, times).astype(np.int64).tobytes())
             out["known"].append(np.bincount(place, np.repeat(c > 0, holders) * times).astype(np.int64).tobytes())
             out["logs"].append(np.bincount(place, np.repeat(np.log10(c + 1), holders) * times).tobytes())
         n = len(words)
         sums = ([int(total.sum())] + [0] * (n - 1), [int((total > 0).sum())] + [0] * (n - 1))  # once for the bucket
-        back = pa.table({"block": pa.array([w["block"] for w in words]), **{c: pa.nulls(n, home.schema.field(c).type) for c in names}, **{c: pa.array(x, pa.binary()) for c, x in out.items()}, "tokens": pa.array(sums[0], pa.int64()), "types": pa.array(sums[1], pa.int64())})
-        return pa.concat_tables([home, back])
+        return pa.table({"block": pa.array([w["block"] for w in words]), **{c: pa.array(x, pa.binary()) for c, x in out.items()}, "tokens": pa.array(sums[0], pa.int64()), "types": pa.array(sums[1], pa.int64())})
 
-    return rows.groupBy("bucket").applyInArrow(run, f"block string, ids array<{kind}>, held array<boolean>, n_tokens array<long>, score array<double>, doc binary, known binary, logs binary, tokens long, types long")
+    return cells.groupBy("bucket").applyInArrow(run, "block string, doc binary, every binary, known binary, logs binary, tokens long, types long")
 
 
-def score_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, contexts: int = CONTEXTS, folds: int = 7, fold: int = 2) -> DataFrame:
+def score_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, contexts: int | None = None, folds: int = 7, fold: int = 2) -> DataFrame:
     """Scores of whole texts under the tree, and under add-one word counts, of the training fold.
 
     Rows whose crc32 of the id as text leaves ``fold`` by ``folds`` are held
@@ -330,28 +454,42 @@ def score_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     ``score`` (log10 by the tree, the end of the text included; divide by
     ``-log10(2)`` and by the bytes for bits per byte).
 
+    The tree has every context of up to ``depth`` bytes (at most 5).
+    ``contexts`` bounded it once; it is taken from earlier callers and has no
+    effect.
+
     A null text counts as empty: an end alone.  Repeated rows are learned from
     each.  With no training row every symbol has even odds.  An empty table
     gives an empty result.  Only the named columns are read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out_fold(F.col(id_col), folds, fold).alias("held"))
-    tree = docs.sparkSession.sparkContext.broadcast(fit_tree(base.where(~F.col("held")), "text", depth, contexts).tables())
-    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = word_rows(base, tree, 1 + total // BUCKET_BYTES, kind)
-    found = stash(shares(rows, kind), "shares")
+    blocks = stash(blocked(base, kind), "blocks")
+    buckets = 1 + (blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
+    cells = stash(gram_cells(blocks, depth, buckets), "cells")
+    scored = gram_scores(cells, depth, buckets)
+    found = stash(shares(word_cells(blocks, buckets)), "shares")
     tokens, types = found.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     scale = math.log10(tokens + types + 1)
 
-    def run(t: pa.Table) -> pa.Table:
-        home = t.filter(pc.is_valid(t["ids"]))
-        parts = t.filter(pc.is_null(t["ids"]))
-        doc, known, logs = (np.concatenate([np.frombuffer(r.as_py(), d) for r in parts[c]]) for c, d in (("doc", np.uint32), ("known", np.int64), ("logs", np.float64)))
+    def run(home: pa.Table, parts: pa.Table) -> pa.Table:
+        home = home.sort_by("pos")
+        n = home.num_rows
+        words = parts.filter(pc.is_valid(parts["doc"]))
+        doc, every, known, logs = (np.concatenate([np.frombuffer(r.as_py(), d) for r in words[c]]) for c, d in (("doc", np.uint32), ("every", np.int64), ("known", np.int64), ("logs", np.float64)))
         order = np.lexsort((logs, doc))  # the same sum whatever the rows' order
-        known, logs = np.bincount(doc, known).astype(np.int64), np.bincount(doc[order], logs[order])
-        flat = lambda c: pa.concat_arrays([x.flatten() for x in home[c].chunks])
-        n = flat("n_tokens").to_numpy()
-        return pa.table({"id": flat("ids"), "held_out": flat("held"), "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), tokens), "base_score": logs - n * scale, "score": flat("score")})
-
-    scored = found.drop("tokens", "types").groupBy("block").applyInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scored.withColumnRenamed("id", id_col)
+        every, known, logs = np.bincount(doc, every).astype(np.int64), np.bincount(doc, known).astype(np.int64), np.bincount(doc[order], logs[order])
+        asked = parts.filter(pc.is_valid(parts["grams"]))
+        grams = np.concatenate([unpacked(r.as_py()) for r in asked["grams"]])
+        each = np.concatenate([np.frombuffer(r.as_py(), np.float32) for r in asked["scores"]]).astype(np.float64)
+        order = np.argsort(grams)
+        grams, each = grams[order], each[order]
+        score: list[np.ndarray] = []
+        for raws in in_chunks((r for t in home["texts"].drop_null() for r in pickle.loads(zlib.decompress(t.as_py()))), CHUNK):
+            key, sizes = grams_of(raws, depth)
+            score.append(np.add.reduceat(each[np.searchsorted(grams, key)], np.cumsum(sizes) - sizes))
+        return pa.table({"id": home["id"], "held_out": home["held"], "n_tokens": every, "n_known": known, "train_tokens": np.full(n, tokens), "base_score": logs - every * scale, "score": np.concatenate(score)})
+
+    parts = found.drop("tokens", "types").unionByName(scored, allowMissingColumns=True)
+    out = with_packed_texts(blocks, kind).groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.withColumnRenamed("id", id_col)

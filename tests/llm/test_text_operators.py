@@ -415,6 +415,26 @@ def test_language_scores(spark, monkeypatch):
     assert lm_scoring.score_language(frame(spark, []).limit(0)).collect() == []
 
 
+def test_language_scores_keep_every_context(spark, monkeypatch):
+    """More contexts than the 65,536 that a model once kept: each score is that of the whole tree, worked out in one process."""
+    monkeypatch.setattr(lm_scoring, "BLOCK", 20_000)
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 30_000)
+    r = random.Random(5)
+    rows = [(i, "".join(r.choices("abcdefghijklmnopqrstuvwxyz é", k=400))) for i in range(120)]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    depth, grams = 5, Counter()
+    buf, at, _ = lm_scoring.framed([t.encode() for i, t in rows if not held[i]], depth)
+    for p in at.tolist():
+        for d in range(depth + 1):
+            grams[(d, int.from_bytes(bytes(buf[p - d : p]), "big"), int(buf[p]))] += 1
+    assert len({k[:2] for k in grams}) > 65_536
+    tree = lm_scoring.Tree(*(np.array(x) for x in zip(*((*k, v) for k, v in grams.items()), strict=True)), depth)
+    want = dict(zip((i for i, _ in rows), tree.scores([t.encode() for _, t in rows]), strict=True))
+    got = {x.doc_id: x.score for x in lm_scoring.score_language(frame(spark, rows)).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[i] - want[i]) < 1e-3 for i in want)
+
+
 def test_context_tree_is_a_distribution_and_matches_plain_recursion():
     """Predictions of a full tree equal the ratio of weighted probabilities with and without one more symbol."""
     import math
