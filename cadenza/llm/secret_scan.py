@@ -37,6 +37,10 @@ HINTS = ("passw", "secret", "token", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[a-zA-Z]{2,10};")
 RUN = re.compile(r"(?:[A-Za-z0-9+/]{60,}\r?\n)+[A-Za-z0-9+/]+={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines of nothing but base64, of which those of one width are joined.
+LINES = re.compile(r"(?m)^[A-Za-z0-9+/]{4,}(?:\r?\n[A-Za-z0-9+/]+={0,2})+(?=\r?$)")
+#: Printable stretches of bytes that aren't text, plain and in UTF-16; no base pattern is shorter than 12.
+STRETCHES = ((re.compile(rb"[\t-\r\x20-\x7e]{12,}"), 0, 1), (re.compile(rb"(?:[\t-\r\x20-\x7e]\0){12,}"), 0, 2), (re.compile(rb"(?:\0[\t-\r\x20-\x7e]){12,}"), 1, 2))
 #: Bytes of a run of hex digits, and of base64, for a quick look before the patterns.
 HEX_BYTES = bytes(ord("x") if chr(c) in "0123456789abcdef" else 0x20 for c in range(256))
 RUN_BYTES = bytes(ord("x") if chr(c).isascii() and (chr(c).isalnum() or chr(c) in "+/-_") else 0x20 for c in range(256))
@@ -119,19 +123,34 @@ def is_text(raw: bytes) -> str | None:
     return None if re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else text
 
 
+def members(raw: bytes, most: int, fresh) -> bytes:
+    """All members of compressed data, one after the other; what follows the last whole one is left."""
+    out = b""
+    while raw and len(out) <= most:
+        one = fresh()
+        try:
+            out += one.decompress(raw, most + 1 - len(out))
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            if out:
+                break
+            raise
+        raw = one.unused_data
+    return out
+
+
 def unfolded(raw: bytes, most: int) -> bytes | None:
     """What compressed data unfolds to, one byte more than ``most`` at the utmost; None if it isn't any."""
     try:
         if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and int.from_bytes(raw[:2], "big") % 31 == 0):
-            return zlib.decompressobj(47).decompress(raw, most + 1)
+            return members(raw, most, lambda: zlib.decompressobj(47))
         if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, most + 1)
+            return members(raw, most, bz2.BZ2Decompressor)
         if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, most + 1)
+            return members(raw, most, lzma.LZMADecompressor)
         if raw[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            return zstandard.ZstdDecompressor().stream_reader(raw).read(most + 1)
+            return zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read(most + 1)
     except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
         return None
     except Exception as e:  # zstandard's error has no common base
@@ -140,32 +159,79 @@ def unfolded(raw: bytes, most: int) -> bytes | None:
     return None
 
 
-def decoded_run(layer: Layer, m: re.Match, most: int) -> Layer | tuple[int, int] | None:
-    """The layer inside a base64 run, or the place of a bomb."""
-    chars = np.frombuffer(m[0].encode("ascii"), np.uint8)
-    at = m.start() + np.nonzero((chars != 10) & (chars != 13) & (chars != 61))[0]
-    body = bytes(chars[at - m.start()])
-    for skip in range(4):  # a path or a word may stand right before
+def stretches(raw: bytes) -> Iterator[tuple[str, np.ndarray]]:
+    """Printable parts of bytes that aren't text, and the byte of each character."""
+    for pattern, first, step in STRETCHES:
+        for m in pattern.finditer(raw):
+            text = m[0][first::step].decode("ascii")
+            yield text, m.start() + first + step * np.arange(len(text))
+
+
+def unbase(part: bytes) -> bytes:
+    part = part[: len(part) - (len(part) % 4 == 1)]
+    return base64.urlsafe_b64decode(part.replace(b"+", b"-").replace(b"/", b"_") + b"=" * (-len(part) % 4))
+
+
+def decoded_run(layer: Layer, start: int, found: str, most: int) -> list[Layer | tuple[int, int]]:
+    """The layers inside a base64 run that starts there, or the place of a bomb."""
+    chars = np.frombuffer(found.encode("ascii"), np.uint8)
+    at = start + np.nonzero((chars != 10) & (chars != 13) & (chars != 61))[0]
+    body = bytes(chars[at - start])
+    s, e = layer.place(start, start + len(found))
+    whole = lambda text: Layer(text, np.full(len(text), s), np.full(len(text), e))
+    out: list[Layer | tuple[int, int]] = []
+    # A path or a word may stand before: its length is any, so compressed data may begin at each mark.
+    marks = {p for m in re.finditer(rb"[/_-]", body) for p in (m.start(), m.end())} - set(range(4))
+    for skip in [*range(4), *sorted(marks)]:
         part = body[skip:]
-        part = part[: len(part) - (len(part) % 4 == 1)]
-        if len(part) < 16:
-            return None
-        raw = base64.urlsafe_b64decode(part.replace(b"+", b"-").replace(b"/", b"_") + b"=" * (-len(part) % 4))
-        if (flat := unfolded(raw, most)) is not None:
-            s, e = layer.place(m.start(), m.end())
+        if len(part) - (len(part) % 4 == 1) < 16:
+            break
+        head = unbase(part[:8])
+        folds = head[:2] == b"\x1f\x8b" or head[:3] == b"BZh" or head[:6] == b"\xfd7zXZ\x00" or head[:4] == b"\x28\xb5\x2f\xfd" or (head[0] & 15 == 8 and int.from_bytes(head[:2], "big") % 31 == 0)
+        if skip > 3 and not folds:
+            continue
+        raw = unbase(part)
+        if folds and (flat := unfolded(raw, most)) is not None:
             levels = 1
             while len(flat) <= most and (more := unfolded(flat, most)) is not None and levels < 64:
                 flat, levels = more, levels + 1
             if len(flat) > most:
-                return s, e
+                return [(s, e)]
             if text := is_text(flat):
-                return Layer(text, np.full(len(text), s), np.full(len(text), e))
+                return [whole(text)]
+            out += [whole(text) for text, _ in stretches(flat)]
+        elif skip > 3:
+            continue
         elif text := is_text(raw):
             own = at[skip:]
             first = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])]) if not text.isascii() else np.arange(len(text) + 1)
             lo, hi = first[:-1], first[1:] - 1
-            return Layer(text, layer.starts[own[lo * 4 // 3]], layer.ends[own[np.minimum(hi * 4 // 3 + 1, len(own) - 1)]])
-    return None
+            return [Layer(text, layer.starts[own[lo * 4 // 3]], layer.ends[own[np.minimum(hi * 4 // 3 + 1, len(own) - 1)]])]
+        else:
+            own = at[skip:]
+            out += [Layer(text, layer.starts[own[b * 4 // 3]], layer.ends[own[np.minimum(b * 4 // 3 + 1, len(own) - 1)]]) for text, b in stretches(raw)]
+    return out
+
+
+def wrapped(text: str) -> Iterator[tuple[int, str]]:
+    """Start and text of lines of one width, and a last one that is no wider, which the runs don't join."""
+    for m in LINES.finditer(text):
+        at, start, width = m.start(), m.start(), 0
+        held: list[str] = []
+        for line in m[0].splitlines(keepends=True):
+            size = len(line.rstrip("\r\n"))
+            if held and size != width:
+                if size < width:
+                    held.append(line)
+                if len(held) > 1:
+                    yield start, "".join(held).rstrip("\r\n")
+                held = []
+            if not held:
+                start, width = at, size
+            held.append(line)
+            at += len(line)
+        if len(held) > 1:
+            yield start, "".join(held).rstrip("\r\n")
 
 
 def lines_with(text: str, pattern: re.Pattern, found: re.Match | None) -> Iterator[tuple[int, int]]:
@@ -185,7 +251,7 @@ def scan(text: str | None, most: int = LAYER_BYTES) -> tuple[list[Span], list[Sp
     base = base_spans(text, raw)
     spans = set(base)
     work: list[Layer] = []
-    if "%" in text or "\\" in text or "&" in text or b"x" * 16 in raw.translate(RUN_BYTES):
+    if "%" in text or "\\" in text or "&" in text or b"x" * 16 in raw.translate(RUN_BYTES) or LINES.search(text):
         work.append(Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1)))
     seen: set[tuple[bytes, int, int]] = set()
     while work:
@@ -194,7 +260,8 @@ def scan(text: str | None, most: int = LAYER_BYTES) -> tuple[list[Span], list[Sp
         for mark, pattern, decode in (("%", PERCENT, percent), ("\\&", ESCAPE, escape)):
             if any(x in layer.text for x in mark):
                 new += [rewritten(layer, lo, hi, pattern, decode) for lo, hi in lines_with(layer.text, pattern, pattern.search(layer.text))]
-        new += [decoded_run(layer, m, most) for m in RUN.finditer(layer.text)]
+        for start, found in [*((m.start(), m[0]) for m in RUN.finditer(layer.text)), *wrapped(layer.text)]:
+            new += decoded_run(layer, start, found, most)
         for child in new:
             if child is None:
                 continue

@@ -394,6 +394,23 @@ def test_prior_estimate():
         assert abs(pu_quality.estimate_prior(pos[:1500], np.concatenate([rng.normal(2, 1, n), neg[: 3000 - n]])) - share) < 0.08
 
 
+def test_secrets_in_untidy_base64():
+    import base64
+    import bz2
+    import gzip
+
+    secret = b"password=hunter2hunter2"
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    texts = ["https://example.com/cfg/" + b64(secret), "payload-" + b64(secret), "some_path/" + b64(gzip.compress(secret))]
+    texts += [b64(x) for x in (secret.decode().encode("utf-16-le"), secret.decode().encode("utf-16-be"), b"ab\0" + secret, b"\x1b[0m " + secret, b"caf\xe9 " + secret)]
+    texts += [b64(f(b"nothing here\n") + f(secret)) for f in (gzip.compress, bz2.compress)]
+    line = b64(b"some words before it " + secret + b" and some behind")
+    texts += ["\n".join(line[k : k + w] for k in range(0, len(line), w)) for w in (8, 20, 40)]
+    for text in texts:
+        base, spans = secret_scan.scan(text)
+        assert base == [] and any(kind == 0 for kind, _, _ in spans), text
+
+
 def test_language_scores(spark, monkeypatch):
     import math
 
