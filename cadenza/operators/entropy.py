@@ -7,7 +7,10 @@ the encoder writes a byte while the state is at least frequency * 2**19 (for
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +75,46 @@ def decode(data: bytes, n: int, freq: np.ndarray) -> np.ndarray:
     return out
 
 
+def encoded(rows: DataFrame, column: str = "symbols", size: int = 256) -> DataFrame:
+    """Adds ``freq``, the adaptive table after all symbols of a row, and ``payload``, the row's symbols coded by it.
+
+    A null array gets nulls.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tables: list[list[int] | None] = []
+            payloads: list[bytes | None] = []
+            for cell in b.column(column):
+                if not cell.is_valid:
+                    tables.append(None)
+                    payloads.append(None)
+                    continue
+                symbols = cell.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                table = AdaptiveTable(size)
+                table.counts += np.bincount(symbols, minlength=size)
+                freq = table.frequencies()
+                tables.append(freq.tolist())
+                payloads.append(encode(symbols, freq))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tables, pa.list_(pa.int32())), pa.array(payloads, pa.binary())], names=[*b.schema.names, "freq", "payload"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{schema}, freq array<int>, payload binary")
+
+
+def decoded(rows: DataFrame, count: str = "n") -> DataFrame:
+    """Adds ``decoded``: the ``count`` symbols that ``payload`` holds by the table ``freq``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = zip(b.column("payload").to_pylist(), b.column(count).to_pylist(), b.column("freq").to_pylist(), strict=True)
+            out = [None if p is None else decode(p, n, np.array(f, np.int64)).tolist() for p, n, f in cells]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], names=[*b.schema.names, "decoded"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{schema}, decoded array<int>")
+
+
 def cumulative(rows: DataFrame, symbol: str, *keys: str) -> DataFrame:
     """(keys, symbol, n, before): counts of symbols and of all lower ones."""
     order = Window.partitionBy(*keys).orderBy(symbol).rowsBetween(Window.unboundedPreceding, -1)

@@ -38,6 +38,7 @@ class Rational:
 
 
 RESAMPLERS = {
+    "none": Rational("none", 1, 1),
     "decimate2": Rational("2x", 1, 2),
     "expand2": Rational("2x", 2, 1),
     "decimate4": Rational("4x", 1, 4),
@@ -56,18 +57,43 @@ def for_rate(rate: int) -> tuple[int, str, str]:
     return BY_RATE[rate]
 
 
+def pass_through(rate: int) -> tuple[int, str, str]:
+    """The filter that leaves samples as they are, at any rate."""
+    return 0, "none", "none"
+
+
+def halved(rate: int) -> tuple[int, str, str]:
+    """The 2X filter, whatever the rate."""
+    return 0, "decimate2", "expand2"
+
+
 def outputs(n: int, r: Rational) -> int:
     """Outputs that start at or before the last of n inputs; whole groups only when decimating by a whole number."""
     return n // r.down if r.up == 1 else (n * r.up - 1) // r.down + 1 if n else 0
 
 
+#: Outputs that are worked out at a time.
+OUTPUTS = 4096
+
+
 def apply(x: np.ndarray, r: Rational, phases: np.ndarray, first: int, last: int, start: int = 0) -> np.ndarray:
-    """Outputs first to last - 1, where x begins at input ``start`` and is zero elsewhere."""
-    at = np.arange(first, last, dtype=np.int64) * r.down + r.delay
-    n, p = at // r.up, at % r.up
-    place = n[:, None] - start - np.arange(phases.shape[1])
-    padded = np.append(np.asarray(x, float), 0.0)
-    return (padded[np.where((place >= 0) & (place < len(x)), place, len(x))] * phases[p]).sum(axis=1)
+    """Outputs first to last - 1, where x begins at input ``start`` and is zero elsewhere.
+
+    Goes by blocks, each over the inputs that it reaches, so time and memory
+    follow the outputs asked for, not the signal's length.
+    """
+    out = np.empty(max(0, last - first))
+    taps = phases.shape[1]
+    for lo in range(first, last, OUTPUTS):
+        at = np.arange(lo, min(last, lo + OUTPUTS), dtype=np.int64) * r.down + r.delay
+        n, p = at // r.up - start, at % r.up
+        a, b = int(n[0]) - taps + 1, int(n[-1]) + 1
+        own = np.zeros(b - a)
+        s, e = max(a, 0), min(b, len(x))
+        if s < e:
+            own[s - a : e - a] = x[s:e]
+        out[lo - first : lo - first + len(n)] = (own[(n - a)[:, None] - np.arange(taps)] * phases[p]).sum(axis=1)
+    return out
 
 
 def whole(signals: DataFrame, kind: str, column: str = "x") -> DataFrame:

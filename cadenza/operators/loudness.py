@@ -104,7 +104,7 @@ def measured(tracks: DataFrame) -> DataFrame:
         for b in batches:
             rows: tuple[list, list, list] = ([], [], [])
             for i in range(b.num_rows):
-                sound = [np.array(c) for c in b.column("channels")[i].as_py()]
+                sound = [c.values.to_numpy(zero_copy_only=False) for c in b.column("channels")[i].values]
                 rate = b.column("rate")[i].as_py()
                 for column, x in zip(rows, (blocks(sound, rate).tolist(), blocks(sound, rate, 3.0, 1.0).tolist(), true_peak(sound)), strict=True):
                     column.append(x)

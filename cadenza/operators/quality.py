@@ -132,12 +132,24 @@ def harmonic_db(rows: DataFrame, lags: DataFrame, keys: list[str], rate: float,
 
 
 def crossing(points: DataFrame, level: float, *keys: str) -> DataFrame:
-    """(keys, at): where ``gain`` over ``hertz`` first falls below a level, on the line between two points."""
-    order = Window.partitionBy(*keys).orderBy("hertz") if keys else Window.partitionBy(F.lit(0)).orderBy("hertz")
-    steps = points.withColumn("_f", F.lag("hertz").over(order)).withColumn("_g", F.lag("gain").over(order))
-    hits = steps.where((F.col("_g") >= level) & (F.col("gain") < level))
-    at = F.col("_f") + (F.col("_g") - level) / (F.col("_g") - F.col("gain")) * (F.col("hertz") - F.col("_f"))
-    return hits.groupBy(*keys).agg(F.min_by(at, F.col("hertz")).alias("at"))
+    """(keys, at): where ``gain`` over ``hertz`` first falls below a level, on the line between two points.
+
+    With keys each has a window of its own.  Without, the points are one curve
+    and aggregates find it: the first point below the level that a point at or
+    above it comes before, and the last point before that one.
+    """
+    between = lambda f, g, hertz, gain: f + (g - level) / (g - gain) * (hertz - f)
+    if keys:
+        order = Window.partitionBy(*keys).orderBy("hertz")
+        steps = points.withColumn("_f", F.lag("hertz").over(order)).withColumn("_g", F.lag("gain").over(order))
+        hits = steps.where((F.col("_g") >= level) & (F.col("gain") < level))
+        at = between(F.col("_f"), F.col("_g"), F.col("hertz"), F.col("gain"))
+        return hits.groupBy(*keys).agg(F.min_by(at, F.col("hertz")).alias("at"))
+    rows = points.where("hertz is not null and gain is not null").select("hertz", "gain")
+    above = F.broadcast(rows.where(F.col("gain") >= level).agg(F.min("hertz").alias("_a")))  # one row
+    low = F.broadcast(rows.where(F.col("gain") < level).join(above, F.col("hertz") > F.col("_a")).agg(F.min_by(F.struct("hertz", "gain"), "hertz").alias("_b")))  # one row
+    last = rows.join(low, F.col("hertz") < F.col("_b.hertz")).agg(F.max_by(F.struct("hertz", "gain"), "hertz").alias("_l"), F.first("_b").alias("_b"))
+    return last.where("_l is not null").select(between(F.col("_l.hertz"), F.col("_l.gain"), F.col("_b.hertz"), F.col("_b.gain")).alias("at"))
 
 
 def size_report(packets: DataFrame, rate: int, *keys: str) -> DataFrame:

@@ -39,19 +39,21 @@ def deltas(packets: DataFrame, coding: Coding = VBR8, values: str = "q") -> Data
     """(..., i, next, delta, width, n): the deltas of each packet's values.
 
     The most negative delta is the end mark of a run, so it is written one
-    higher and the next delta one lower; only such packets need a fold.
+    higher and the next delta one lower (or one lower and one higher where its
+    value is the top one, which has no higher); only such packets need a fold.
     """
     q = F.col(values)
     low = -(1 << (coding.bits - 1))
     later = F.slice(q, 2, 1 << 20)
     plain = F.zip_with(later, F.slice(q, 1, F.size(q) - 1), lambda b, a: wrap(b - a, coding.bits))
 
-    def step(state: Column, delta: Column) -> Column:
-        d = wrap(delta + state["carry"], coding.bits)
-        return F.struct(F.when(d == low, -1).otherwise(0).alias("carry"), F.concat(state["out"], F.array(F.when(d == low, low + 1).otherwise(d))).alias("out"))
+    def step(state: Column, at: Column) -> Column:
+        d = wrap(at["d"] + state["carry"], coding.bits)
+        carry = F.when(d != low, 0).when(at["next"] == ~low, 1).otherwise(-1)
+        return F.struct(carry.alias("carry"), F.concat(state["out"], F.array(F.when(d != low, d).when(at["next"] == ~low, ~low).otherwise(low + 1))).alias("out"))
 
-    start = F.struct(F.lit(0).alias("carry"), F.array().cast("array<int>").alias("out"))
-    folded = F.when(F.array_contains("d", low), F.aggregate("d", start, step, lambda s: s["out"])).otherwise(F.col("d"))
+    start = F.struct(F.lit(0).alias("carry"), F.array().cast("array<int>").alias("out"))  # a packet has at most 256 samples
+    folded = F.when(F.array_contains("d", low), F.aggregate(F.arrays_zip(F.col("d").alias("d"), later.alias("next")), start, step, lambda s: s["out"])).otherwise(F.col("d"))
     rows = packets.withColumn("d", plain).withColumn("d", folded).withColumn("pair", F.arrays_zip(F.col("d").alias("d"), later.alias("next")))
     kept = [c for c in packets.columns if c != values]
     out = rows.select(*kept, F.size("d").alias("n"), F.posexplode("pair").alias("i", "pair"))

@@ -24,15 +24,20 @@ def wrapped(x: np.ndarray, bits: int) -> np.ndarray:
 
 
 def delta_values(q: np.ndarray, coding: Coding) -> np.ndarray:
-    """Deltas without the end mark's value; the odd one out is made good by its successor."""
+    """Deltas without the end mark's value; the odd one out is made good by its successor.
+
+    It goes one higher, but one lower where its value is the top one, so that
+    a sample is never off by more than one.
+    """
     d = wrapped(np.diff(q.astype(np.int64)), coding.bits)
     low = -(1 << (coding.bits - 1))
     if (d == low).any():
         carry = 0
         for i in range(len(d)):
             d[i] = wrapped(d[i] + carry, coding.bits)
-            carry = -1 if d[i] == low else 0
-            d[i] -= carry
+            carry = 0 if d[i] != low else 1 if q[i + 1] == ~low else -1
+            if carry:
+                d[i] = ~low if carry > 0 else low + 1
     return d
 
 

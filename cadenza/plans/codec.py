@@ -1,7 +1,8 @@
 """The codec end to end: sound files to containers and back.
 
 The squelch follows all samples before, so a channel is one task's work; files and channels
-are independent.  Everything after it is per frame or packet.
+are independent.  Everything after it is per frame or packet.  Its three stages are
+exchangeable, and each has one that passes samples through.
 """
 
 from __future__ import annotations
@@ -14,25 +15,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.operators import fir, vbr
-from cadenza.operators.runs import VBR8, Coding
+from cadenza.operators import fir
+from cadenza.operators.compressors import Compressor, Vbr, scale_of
 from cadenza.operators.signals import PACKET
 from cadenza.operators.squelch import THRESHOLD, squelch_array
 from cadenza.sources import files
 
 
+__all__ = ["Stages", "containers", "decode", "decode_channel", "encode", "encode_channel", "resample_24", "scale_of"]
+
+
 @dataclass(frozen=True)
 class Stages:
-    """The exchangeable parts of a codec: what goes between samples and payloads."""
+    """The exchangeable parts of a codec: what goes between samples and payloads.
+
+    ``filters`` gives, for a PCM rate, the filter's id and the names of its
+    decimator and expander; ``squelch`` is None for none.
+    """
 
-    coding: Coding = VBR8
+    compressor: Compressor = Vbr()
+    filters: Callable[[int], tuple[int, str, str]] = fir.for_rate
     squelch: Callable | None = squelch_array
     threshold: float = THRESHOLD
 
-    @property
-    def finer(self) -> float:
-        return 1.0 if self.coding.bits == 8 else 2047 / 127
-
 
 def frame_starts(total: int, rate: int, ms: int) -> np.ndarray:
     """The first sample of every frame, and the end."""
@@ -47,13 +52,9 @@ def packed_sizes(starts: np.ndarray, r: fir.Rational) -> np.ndarray:
     return np.diff(np.array([fir.outputs(int(s), r) for s in starts]))
 
 
-def scale_of(x: np.ndarray) -> int:
-    return int(min(255, max(1, int(np.abs(x.astype(np.int64)).max(initial=0)) >> 7)))
-
-
 def encode_channel(x: np.ndarray, rate: int, ms: int, stages: Stages = Stages()) -> Iterator[tuple[int, int, int, bytes]]:
     """(frame, packet, samples, payload) of one channel of 16-bit samples."""
-    _, down, _ = fir.for_rate(rate)
+    _, down, _ = stages.filters(rate)
     r = fir.RESAMPLERS[down]
     if stages.squelch:
         x = np.trunc(stages.squelch(x, full=32767.0, threshold=stages.threshold)[0])
@@ -62,28 +63,24 @@ def encode_channel(x: np.ndarray, rate: int, ms: int, stages: Stages = Stages())
     for frame, n in enumerate(packed_sizes(starts, r).tolist()):
         if r.up == 1:
             first = int(starts[frame])
-            y = fir.apply(x, fir.Rational(r.name, 1, 1), phases, first, first + n * r.down)[:: r.down] if n else np.empty(0)
+            y = fir.apply(x, fir.Rational(r.name, 1, r.down, first), phases, 0, n)  # from the frame's own first sample
         else:
             y = fir.apply(x, r, phases, done, done + n)
         done += n
         y = np.clip(np.trunc(y), -32768, 32767).astype(np.int64)
         for k in range(0, n, PACKET):
             part = y[k : k + PACKET]
-            s = scale_of(part)
-            most = 127 if stages.coding.bits == 8 else 2047
-            q = np.clip(np.trunc(part / (s + 1) * stages.finer), -most, most).astype(np.int64)
-            yield frame, k // PACKET, len(part), vbr.encode(q, s, stages.coding)
+            yield frame, k // PACKET, len(part), stages.compressor.compress(part)
 
 
 def decode_channel(packets: list[tuple[int, int, bytes]], rate: int, total: int, ms: int, stages: Stages = Stages(), compensate: bool = False) -> np.ndarray:
     """16-bit samples from (frame, samples, payload) in order; the filters' delay stays unless ``compensate``."""
-    _, down, up = fir.for_rate(rate)
+    _, down, up = stages.filters(rate)
     r, starts = fir.RESAMPLERS[up], frame_starts(total, rate, ms)
     sizes = np.zeros(max(0, len(starts) - 1), np.int64)
     parts = [np.empty(0)]
     for frame, n, payload in packets:
-        s, q = vbr.decode(payload, n, stages.coding)
-        parts.append(np.trunc(q * (s + 1) / stages.finer))
+        parts.append(stages.compressor.decompress(payload, n))
         sizes[frame] += n
     y = np.concatenate(parts)
     out = np.zeros(total, np.int16)

@@ -62,10 +62,21 @@ def width(d: str, n_bits: int) -> str:
 
 
 def deltas(base: str, n_bits: int) -> str:
-    """Deltas dl(stream, packet, i, delta, width, nx, n); these signals have no delta that is the end mark."""
+    """Deltas dl(stream, packet, i, delta, width, nx, n), and off(stream, packet, wrong): deltas that are the end mark.
+
+    Such a delta is written one higher, or one lower if its value is the top
+    one; the next makes good for it.
+    """
     half = 1 << (n_bits - 1)
+    now = f"((y.c + a.c + {half}) & {2 * half - 1}) - {half}"
+    step = f"""CASE WHEN {now} <> {-half} THEN {{'c': 0, 'x': a.x, 'o': list_append(a.o, {now})}}
+      WHEN y.x = {half - 1} THEN {{'c': 1, 'x': a.x + 1, 'o': list_append(a.o, {half - 1})}} ELSE {{'c': -1, 'x': a.x + 1, 'o': list_append(a.o, {1 - half})}} END"""
     return f"""{base}, d0 AS (SELECT stream, packet, i - 1 AS i, n, q AS nx, ((q - lag(q) OVER (PARTITION BY stream, packet ORDER BY i) + {half}) & {2 * half - 1}) - {half} AS delta FROM pk),
-    dl AS (SELECT stream, packet, i, n, nx, delta, {width("delta", n_bits)} AS width FROM d0 WHERE i >= 0)"""
+    d1 AS (SELECT stream, packet, list({{'c': delta::int, 'x': nx::int, 'o': []::int[]}} ORDER BY i) AS l FROM d0 WHERE i >= 0 GROUP BY stream, packet HAVING bool_or(delta = {-half})),
+    d2 AS (SELECT stream, packet, list_reduce(l, lambda a, y: {step}, {{'c': 0::int, 'x': 0::int, 'o': []::int[]}}) AS r FROM d1),
+    d3 AS (SELECT stream, packet, generate_subscripts(r.o, 1) - 1 AS i, unnest(r.o) AS fixed FROM d2), off AS (SELECT stream, packet, r.x AS wrong FROM d2),
+    d4 AS (SELECT stream, packet, i, n, nx, coalesce(fixed, delta) AS delta FROM d0 LEFT JOIN d3 USING (stream, packet, i) WHERE i >= 0),
+    dl AS (SELECT stream, packet, i, n, nx, delta, {width("delta", n_bits)} AS width FROM d4)"""
 
 
 def coded(base: str, c: Coding) -> str:
@@ -96,9 +107,9 @@ for c in (VBR8, VBR12):
     ORACLE[f"delta_width{b}"] = f"WITH {deltas(packed(LI, 'li', 'sample', 256, b), b)} SELECT stream, packet, i, delta, width FROM dl"
     event = deltas(packed(EVT, "evt", QUIET, 64, b), b)
     ORACLE[f"payload_bits{b}"] = f"WITH {costs(event, c)} SELECT stream, packet, silent_codes, delta_runs, deltas_coded, bits, (bits + 7) // 8 AS bytes FROM bc"
-    # A packet of one sample has a head and no deltas.
-    ORACLE[f"vbr_roundtrip{b}"] = f"""WITH {costs(event, c)} SELECT stream, count(*) AS packets, sum(n + 1)::bigint AS samples, sum(coalesce((bits + 7) // 8, {c.head_bits // 8}))::bigint AS bytes, 0::bigint AS wrong, 0::bigint AS error
-    FROM ps LEFT JOIN bc USING (stream, packet) GROUP BY stream"""
+    # A packet of one sample has a head and no deltas.  A value is off, by one, where the delta is the end mark.
+    ORACLE[f"vbr_roundtrip{b}"] = f"""WITH {costs(event, c)} SELECT stream, count(*) AS packets, sum(n + 1)::bigint AS samples, sum(coalesce((bits + 7) // 8, {c.head_bits // 8}))::bigint AS bytes, sum(coalesce(wrong, 0))::bigint AS wrong, sum(coalesce(wrong, 0))::bigint AS error
+    FROM ps LEFT JOIN bc USING (stream, packet) LEFT JOIN off USING (stream, packet) GROUP BY stream"""
 ORACLE["delta_histogram"] = f"WITH {deltas(packed(LI, 'li', 'sample', 256, 8), 8)} SELECT delta, count(*) AS n, max(width) AS width FROM dl GROUP BY delta"
 ORACLE["symbol_ranges"] = f"WITH {deltas(packed(LI, 'li', 'sample', 256, 8), 8)}, s AS (SELECT CASE WHEN delta > 0 THEN 2 * delta - 1 ELSE -2 * delta END AS symbol, count(*) AS n FROM dl GROUP BY 1) SELECT symbol, n, coalesce(sum(n) OVER (ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS \"before\" FROM s"
 EVENT8 = deltas(packed(EVT, "evt", QUIET, 64, 8), 8)
@@ -171,9 +182,9 @@ SELECT stream, round(f0 + (g0 - 0) / (g0 - g) * (idx - f0), 6) AS "at" FROM h WH
 ORACLE["pcm_convert"] = """WITH a AS (SELECT id * 53000 AS x FROM (SELECT unnest(range(-40000, 40000, 7))::bigint AS id)), b AS (SELECT x, x / 2200000000.0::double AS f, greatest(least(x, 2147483647), -2147483648) >> 16 AS h FROM a)
 SELECT x, h AS from32, greatest(-8388608, least(8388607, x)) >> 8 AS from24, h * 256 AS to24, h * 65536 AS to32, round(h / 32767::double, 9) AS float16, trunc(greatest(-1.0::double, least(1.0::double, f)) * 32767)::bigint AS back16,
 trunc(greatest(-1.0::double, least(1.0::double, f * 2)) * 8388607)::bigint AS back24, greatest(-128, least(127, h)) + 128 AS u8, (h >> 8) + 128 AS u8scaled, greatest(-128, least(127, h)) AS s16, greatest(-128, least(127, h)) AS s8, trunc(greatest(-1.0::double, least(1.0::double, f)) * 127)::int + 128 AS f8, h + 32768 AS u16 FROM b"""
-TWO = "ch AS (SELECT label AS stream, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS channel, embedding FROM embeddings WHERE label IS NOT NULL), two AS (SELECT stream, channel, generate_subscripts(embedding, 1) - 1 AS idx, unnest(embedding)::double AS sample FROM ch WHERE channel < 2)"
-ORACLE["mono_mixdown"] = f"WITH {TWO} SELECT stream, idx::int AS idx, round(avg(sample), 7) AS sample FROM two GROUP BY stream, idx"
-ORACLE["channel_alignment"] = f"WITH {TWO}, n AS (SELECT stream, channel, count(*) AS n FROM two GROUP BY stream, channel) SELECT stream, count(DISTINCT n) = 1 AS aligned, max(n) AS n FROM n GROUP BY stream"
+CHANNELS = "ch AS (SELECT label AS stream, vec_id AS channel, generate_subscripts(embedding, 1) - 1 AS idx, unnest(embedding)::double AS sample FROM embeddings WHERE label IS NOT NULL)"
+ORACLE["mono_mixdown"] = f"WITH {CHANNELS} SELECT stream, idx::int AS idx, round(avg(sample), 7) AS sample FROM ch GROUP BY stream, idx"
+ORACLE["channel_alignment"] = f"WITH {CHANNELS}, n AS (SELECT stream, channel, count(*) AS n FROM ch GROUP BY stream, channel) SELECT stream, count(DISTINCT n) = 1 AS aligned, max(n) AS n FROM n GROUP BY stream"
 ORACLE["concat_tracks"] = f"WITH {EVT} SELECT stream // 10 AS album, stream AS track, row_number() OVER (PARTITION BY stream // 10 ORDER BY stream, idx) - 1 AS idx, sample FROM evt"
 LOUD = "lo AS (SELECT s_suppkey AS album, (-30 + s_suppkey % 25 + 0.25)::double AS loudness, (-12 + s_suppkey % 13)::double AS peak FROM supplier)"
 ORACLE["gain_db"] = f"WITH {LOUD}, g AS (SELECT album, -16 - loudness AS w, least(-16 - loudness, -1 - peak) AS gain FROM lo) SELECT album, round(gain, 2) AS gain_db, gain < w - 1e-6 AS peak_capped FROM g"
@@ -194,4 +205,30 @@ for name, n_bits in (("wav_roundtrip", 16), ("wav24_roundtrip", 24), ("aiff_roun
 # Frames of 5 ms at 48 kHz have 240 samples, 60 compressed ones.
 ORACLE["container_roundtrip"] = f"WITH {SOUND} SELECT file, channel, (n // 240 * 60 + n % 240 // 4)::bigint AS comp_samples, ((n + 239) // 240 - CASE WHEN n % 240 BETWEEN 1 AND 3 THEN 1 ELSE 0 END)::int AS frames, n, 2 AS channels, 48000::bigint AS pcm_sample_rate FROM so"
 ORACLE["container_seek"] = f"WITH {SOUND}, k AS (SELECT file, unnest(range(0, (n + 239) // 240 - CASE WHEN n % 240 BETWEEN 1 AND 3 THEN 1 ELSE 0 END)) AS frame_idx FROM so WHERE channel = 0) SELECT file, frame_idx::int AS frame_idx, (60 * frame_idx)::bigint AS tick FROM k"
-ORACLE["streaming_equals_batch"] = f"WITH {LI} SELECT stream, ((count(*) + 3) // 4)::bigint AS outputs, true AS same FROM li WHERE stream % 10 = 0 GROUP BY stream"
+ORACLE["streaming_equals_batch"] = f"WITH {LI} SELECT stream, ((count(*) + 3) // 4)::bigint AS outputs, true AS same FROM li GROUP BY stream"
+
+ORACLE["sink_roundtrip"] = f"WITH {SOUND} SELECT file, 'disc' || (file::bigint % 3)::varchar AS folder, count(*) AS channels, sum(n)::bigint AS samples FROM so GROUP BY file"
+ORACLE["ixml_roundtrip"] = f"WITH {SOUND} SELECT file, unnest(['wav', 'aiff']) AS form, CASE WHEN file::bigint % 2 = 0 THEN '<take>é ' || file || '</take>' END AS ixml FROM so WHERE channel = 0"
+ORACLE["raw_codec"] = f"WITH {SOUND} SELECT file, channel, n, true AS same FROM so"
+ORACLE["scaled_codec"] = f"WITH {SOUND} SELECT file, channel, n, true AS close FROM so"
+ORACLE["range_coding"] = f"WITH {packed(LI, 'li', 'sample', 256, 8)} SELECT stream, count(*) AS packets, sum(n)::bigint AS symbols, true AS same, true AS whole FROM ps WHERE n > 0 GROUP BY stream"
+
+#: The 2X filter h(i, h) by its formula: a sinc under a Kaiser window, of unit sum.
+TWICE = """raw AS (SELECT i, CASE WHEN t = 0 THEN 1 ELSE sin(pi() * t) / (pi() * t) END * list_sum(list_transform(range(0, 31), lambda k: pow(pow(4 * w, k) / factorial(k::int), 2))) AS h
+  FROM (SELECT i, (i - 63.5::double) * 20000 / 48000 AS t, sqrt(greatest(0, 1 - pow(2 * i / 127::double - 1, 2))) AS w FROM (SELECT unnest(range(0, 128)) AS i))),
+h AS (SELECT i, h / (SELECT sum(h) FROM raw) AS h FROM raw)"""
+ORACLE["fir_table"] = f"WITH {TWICE} SELECT '2x' AS filter, (i % 2)::int AS phase, (i // 2)::int AS tap, round(h, 9) AS h FROM h"
+ORACLE["sweep_3db"] = f"""WITH {TWICE}, f AS (SELECT unnest([1000, 2000, 4000, 6000, 8000, 8500, 9000, 9250, 9500, 9750, 10000, 11000, 12000])::double AS f),
+x AS (SELECT f, n, 0.5::double * sin(2 * pi() * f * n / 48000) AS x FROM f, (SELECT unnest(range(0, 8192)) AS n)),
+lows AS (SELECT x.f, (x.n + h.i) // 2 AS m, sum(h.h * x.x) AS y FROM x JOIN h ON (x.n + h.i) % 2 = 0 GROUP BY 1, 2 HAVING (x.n + h.i) // 2 < 4096),
+backs AS (SELECT f, 2 * m + i AS k, sum(2 * h.h * y) AS z FROM lows, h GROUP BY 1, 2 HAVING 2 * m + i < 8192),
+levels AS (SELECT f, 20 * log10(greatest(1e-12, sqrt(avg(z * z))) / sqrt(avg(x * x))) AS g FROM backs JOIN x USING (f) WHERE x.n = k AND k >= 512 GROUP BY f),
+steps AS (SELECT f, g, lag(f) OVER (ORDER BY f) AS f0, lag(g) OVER (ORDER BY f) AS g0 FROM levels)
+SELECT round(f0 + (g0 + 3) / (g0 - g) * (f - f0), 1) AS hertz FROM steps WHERE g0 >= -3 AND g < -3 ORDER BY f LIMIT 1"""
+VECTORS = f"{emb_scaled(8)}, ps AS (SELECT stream, 0 AS packet, any_value(label) AS label, any_value(s) AS s, count(*) - 1 AS n FROM qs JOIN (SELECT DISTINCT stream, label FROM emb) USING (stream) GROUP BY stream), pk AS (SELECT stream, 0 AS packet, idx::int AS i, s, (count(*) OVER (PARTITION BY stream) - 1)::int AS n, q FROM qs)"
+ORACLE["flagship"] = f"""WITH {costs(deltas(VECTORS, 8), VBR8)},
+back AS (SELECT stream, i + 1 AS idx, sum(delta) OVER (PARTITION BY stream ORDER BY i) AS up FROM dl),
+y AS (SELECT qs.stream, x, ((((max(CASE WHEN qs.idx = 0 THEN q END) OVER (PARTITION BY qs.stream)) + coalesce(up, 0) + 128)::bigint & 255) - 128) * (s + 1) / 32767::double AS y FROM qs LEFT JOIN back ON back.stream = qs.stream AND back.idx = qs.idx),
+e AS (SELECT stream, sum(x * x) AS p, sum((x - y) * (x - y)) AS e FROM y GROUP BY stream)
+SELECT label, count(*) AS packets, sum(coalesce((bits + 7) // 8, 2))::bigint AS bytes, round(sum(n + 2) / sum(coalesce((bits + 7) // 8, 2))::double, 6) AS ratio, round(10 * log10(sum(p) / sum(e)), 4) AS snr_db
+FROM ps JOIN e USING (stream) LEFT JOIN bc USING (stream, packet) GROUP BY label"""

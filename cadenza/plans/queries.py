@@ -385,22 +385,20 @@ def pcm_convert(spark, sf_dir):
     )
 
 
-def two_channels(spark, sf_dir):
-    """Vectors of a label as channels of one stream: components as samples."""
+def label_channels(spark, sf_dir):
+    """All vectors of a label as channels of one stream: components as samples."""
     t = signals.embeddings(spark, sf_dir).where("label is not null")
-    rank = Window.partitionBy("label").orderBy("stream")
-    two = t.withColumn("channel", F.row_number().over(rank) - 1).where("channel < 2")
-    return two.select(F.col("label").alias("stream"), "channel", F.posexplode("x").alias("idx", "sample"))
+    return t.select(F.col("label").alias("stream"), F.col("stream").alias("channel"), F.posexplode("x").alias("idx", "sample"))
 
 
 @query
 def mono_mixdown(spark, sf_dir):
-    return signals.mono(two_channels(spark, sf_dir)).select("stream", "idx", F.round("sample", 7).alias("sample"))
+    return signals.mono(label_channels(spark, sf_dir)).select("stream", "idx", F.round("sample", 7).alias("sample"))
 
 
 @query
 def channel_alignment(spark, sf_dir):
-    return signals.aligned(two_channels(spark, sf_dir))
+    return signals.aligned(label_channels(spark, sf_dir))
 
 
 @query
@@ -524,7 +522,7 @@ def streaming_equals_batch(spark, sf_dir):
     from cadenza.streaming.packets import decimated_batch, decimated_stream
 
     folder = shared_folder(spark)
-    packed = signals.packets(signals.prices(spark, sf_dir).where("stream % 10 = 0"), 64).select("stream", F.col("packet").alias("seq"), F.col("samples").cast("array<double>").alias("samples"))
+    packed = signals.packets(signals.prices(spark, sf_dir), 64).select("stream", F.col("packet").alias("seq"), F.col("samples").cast("array<double>").alias("samples"))
     packed.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(packed.schema).parquet(f"{folder}/in")
     run = decimated_stream(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
@@ -535,6 +533,76 @@ def streaming_equals_batch(spark, sf_dir):
     return one.join(two, ["stream", "seq"], "full").groupBy("stream").agg(F.sum(F.size("y")).alias("outputs"), F.bool_and((F.size("y") == F.size("z")) & (F.col("first") == F.col("first2")) & (gap < 1e-6)).alias("same"))
 
 
+@query
+def sink_roundtrip(spark, sf_dir):
+    """Files through the sink, folders kept, and back through the file source."""
+    folder = shared_folder(spark).removeprefix("file:")
+    files.register(spark)
+    made = files.write_sound(sound_rows(spark, sf_dir).withColumn("file", F.concat(F.lit("disc"), (F.col("file").cast("long") % 3).cast("string"), F.lit("/"), "file", F.lit(".wav"))))
+    made.write.format("signalfiles").mode("append").save(folder)
+    back = files.read_sound(files.listed(spark, folder, "wav"))
+    return back.groupBy(names.stem(F.col("file")).alias("file"), F.element_at(F.split("file", "/"), -2).alias("folder")).agg(F.count(F.lit(1)).alias("channels"), F.sum("n").alias("samples"))
+
+
+@query
+def ixml_roundtrip(spark, sf_dir):
+    """Text that goes along with a file, in both formats."""
+    rows = sound_rows(spark, sf_dir).withColumn("ixml", F.when(F.col("file").cast("long") % 2 == 0, F.concat(F.lit("<take>é "), "file", F.lit("</take>"))))
+    both = [files.read_sound(files.write_sound(rows, form)).where("channel = 0").select("file", F.lit(form).alias("form"), "ixml") for form in ("wav", "aiff")]
+    return both[0].unionByName(both[1])
+
+
+@query
+def range_coding(spark, sf_dir):
+    """Deltas of packets as symbols through the range coder and back."""
+    rows = runs.deltas(price_packets(spark, sf_dir)).select("stream", "packet", "i", bits.diag_map(F.col("delta")).cast("int").alias("symbol"))
+    packed = rows.groupBy("stream", "packet").agg(F.sort_array(F.collect_list(F.struct("i", "symbol"))).alias("s")).select("stream", "packet", F.col("s.symbol").alias("symbols"), F.size("s").alias("n"))
+    back = entropy.decoded(entropy.encoded(packed))
+    return back.groupBy("stream").agg(F.count(F.lit(1)).alias("packets"), F.sum("n").alias("symbols"), F.bool_and(F.col("symbols") == F.col("decoded")).alias("same"), F.bool_and(F.aggregate("freq", F.lit(0), lambda s, v: s + v) == 4096).alias("whole"))
+
+
+@query
+def fir_table(spark, sf_dir):
+    """The 2X filter's coefficients by phase."""
+    from cadenza.operators import design
+
+    return design.table(spark, "2x").select("filter", "phase", "tap", F.round("h", 9).alias("h"))
+
+
+@query
+def raw_codec(spark, sf_dir):
+    """Channels through the codec with stages that pass samples through: nothing may change."""
+    from cadenza.operators.compressors import Raw
+
+    rows = sound_rows(spark, sf_dir)
+    heads = rows.groupBy("file").agg(F.first("rate").cast("long").alias("pcm_sample_rate"), F.max(F.size("samples")).cast("long").alias("pcm_total_samples"), F.lit(5).alias("frame_ms"))
+    stages = codec.Stages(Raw(), fir.pass_through, None)
+    back = codec.decode(codec.encode(rows, 5, stages), heads, stages).select("file", "channel", F.col("samples").alias("got"))
+    return rows.join(back, ["file", "channel"], "left").select("file", "channel", F.size("samples").alias("n"), F.coalesce(F.col("samples") == F.col("got"), F.lit(False)).alias("same"))
+
+
+@query
+def scaled_codec(spark, sf_dir):
+    """Channels through block scaling to 8 bits alone, in frames of 5 ms: whether the largest error stays within two steps of the largest scale."""
+    from cadenza.operators.compressors import Scaled
+
+    rows = sound_rows(spark, sf_dir)
+    heads = rows.groupBy("file").agg(F.first("rate").cast("long").alias("pcm_sample_rate"), F.max(F.size("samples")).cast("long").alias("pcm_total_samples"), F.lit(5).alias("frame_ms"))
+    stages = codec.Stages(Scaled(), fir.pass_through, None)
+    back = codec.decode(codec.encode(rows, 5, stages), heads, stages).select("file", "channel", F.col("samples").alias("got"))
+    off = F.zip_with("samples", "got", lambda a, b: F.abs(a.cast("int") - b.cast("int")))
+    return rows.join(back, ["file", "channel"]).select("file", "channel", F.size("got").alias("n"), (F.array_max(off) < F.array_max("samples") / 64 + 3).alias("close"))
+
+
+@query
+def listening(spark, sf_dir):
+    """Both codecs of the listening set side by side, by file and channel."""
+    from cadenza.plans.listening import compared
+
+    rows = compared(sound_rows(spark, sf_dir))
+    return rows.select("file", "channel", "plain_bytes", "fine_bytes", "plain_delay", "fine_delay", *[F.round(c, 4).alias(c) for c in ("plain_snr_db", "fine_snr_db", "snr_gain_db", "size_ratio")], "plain_mismatches", "fine_mismatches")
+
+
 @query
 def flagship(spark, sf_dir):
     """Encoding of all vectors to payloads: bytes, ratio to 8-bit scaled and SNR by label."""

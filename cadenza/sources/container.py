@@ -60,18 +60,35 @@ def read_header(content: bytes) -> Header:
     return Header(channels, filter_id, rate, ms, total, count, packed, codec, flags, packed_rate, reserved)
 
 
-def read_seek(content: bytes, h: Header) -> list[tuple[int, int]]:
-    if len(content) < HEADER_SIZE + SEEK_SIZE * h.seek_entry_count:
+def read_seek(content: bytes, h: Header, at: int = HEADER_SIZE) -> list[tuple[int, int]]:
+    if len(content) < at + SEEK_SIZE * h.seek_entry_count:
         raise ContainerError("the seek table ends early")
-    return [struct.unpack_from(SEEK, content, HEADER_SIZE + SEEK_SIZE * k) for k in range(h.seek_entry_count)]
+    return [struct.unpack_from(SEEK, content, at + SEEK_SIZE * k) for k in range(h.seek_entry_count)]
 
 
-def read_packets(content: bytes, h: Header, low: int = 0, high: int | None = None) -> list[Packet]:
-    """Packets of the frames low to high - 1, found by the seek table; checks that each channel has its frame's samples, in order."""
-    table = read_seek(content, h)
+def read_part(f, low: int = 0, high: int | None = None) -> tuple[Header, list[tuple[int, int]], bytes, int]:
+    """The header, the seek table, and the bytes of the frames low to high - 1 with where they begin, of an open file."""
+    h = read_header(f.read(HEADER_SIZE))
+    head = f.read(SEEK_SIZE * h.seek_entry_count)
+    table = read_seek(head, h, 0)
+    begin = table[low][1] if low < len(table) else HEADER_SIZE + len(head)
+    f.seek(begin)
+    if low >= len(table) or high is not None and high <= low:
+        return h, table, b"", begin
+    return h, table, f.read() if high is None or high >= len(table) else f.read(table[high][1] - begin), begin
+
+
+def read_packets(content: bytes, h: Header, low: int = 0, high: int | None = None, table: list[tuple[int, int]] | None = None, base: int = 0) -> list[Packet]:
+    """Packets of the frames low to high - 1, found by the seek table; checks that each channel has its frame's samples, in order.
+
+    With a ``table``, the content is the part of the file that begins at ``base``.
+    """
+    table = read_seek(content, h) if table is None else table
     out = []
     for frame in range(low, len(table) if high is None else min(high, len(table))):
-        tick, at = table[frame]
+        tick, at = table[frame][0], table[frame][1] - base
+        if at < 0:
+            raise ContainerError("a frame that begins before the packets")
         length = (table[frame + 1][0] if frame + 1 < len(table) else h.compressed_total_samples) - tick
         for channel in range(h.channels):
             n = seq = 0

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import glob
 import os
+import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,41 +39,57 @@ def without(files: DataFrame, done: DataFrame) -> DataFrame:
     return files.join(done.select("path").distinct(), "path", "left_anti")
 
 
-def albums(files: DataFrame) -> DataFrame:
-    """(album, tracks): folders with at least one file, none of them hidden."""
+def albums(files: DataFrame, root: str | None = None, recursive: bool = True) -> DataFrame:
+    """(album, tracks): folders with at least one file, none of them hidden.
+
+    Without ``recursive`` it is ``root`` alone if it has files, else the folders two
+    levels below it (artist and album).
+    """
     shown = files.where(~F.exists(F.split("path", "/"), lambda p: p.startswith(".")))
-    return shown.groupBy(parent(F.col("path")).alias("album")).agg(F.count(F.lit(1)).alias("tracks"))
+    found = shown.groupBy(parent(F.col("path")).alias("album")).agg(F.count(F.lit(1)).alias("tracks"))
+    if recursive:
+        return found
+    if root is None:
+        raise ValueError("one level needs a root")
+    own = found.where(F.col("album") == root.rstrip("/"))
+    two = found.where(F.col("album").startswith(root.rstrip("/") + "/") & (F.size(F.split(F.substring("album", len(root.rstrip("/")) + 2, 1 << 20), "/")) == 2))
+    return own if not own.isEmpty() else two
+
 
+def read_sound(files: DataFrame, scale8: bool = False, floats: bool = False) -> DataFrame:
+    """(file, channel, rate, bits, n, samples, ixml, error) of WAV and AIFF files; a bad file has one row with its error.
 
-def read_sound(files: DataFrame, scale8: bool = False) -> DataFrame:
-    """(file, channel, rate, bits, n, samples, ixml, error) of WAV and AIFF files, 16 bits; a bad file has one row with its error."""
+    Samples are 16-bit integers, or with ``floats`` doubles from -1 to 1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("file", pa.string()), ("channel", pa.int32()), ("rate", pa.int32()), ("bits", pa.int32()), ("n", pa.int64()), ("samples", pa.list_(pa.int16())), ("ixml", pa.string()), ("error", pa.string())]
+        kinds = [("file", pa.string()), ("channel", pa.int32()), ("rate", pa.int32()), ("bits", pa.int32()), ("n", pa.int64()), ("samples", pa.list_(pa.float64() if floats else pa.int16())), ("ixml", pa.string()), ("error", pa.string())]
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     s = sound.parse(content or b"")
-                    rows = [(path, k, s.rate, s.bits, len(c), c, s.ixml, None) for k, c in enumerate(s.as_int16(scale8))]
+                    rows = [(path, k, s.rate, s.bits, len(c), c, s.ixml, None) for k, c in enumerate(s.as_float() if floats else s.as_int16(scale8))]
                 except sound.SoundError as e:
                     rows = [(path, None, None, None, None, None, None, str(e))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
-    return files.select("path", "content").mapInArrow(run, "file string, channel int, rate int, bits int, n long, samples array<smallint>, ixml string, error string")
+    return files.select("path", "content").mapInArrow(run, f"file string, channel int, rate int, bits int, n long, samples array<{'double' if floats else 'smallint'}>, ixml string, error string")
 
 
 def write_sound(channels: DataFrame, form: str = "wav", bits: int = 16) -> DataFrame:
-    """(path, content) of files from rows (file, channel, rate, samples)."""
+    """(path, content) of files from rows (file, channel, rate, samples[, ixml]); ``ixml`` is text that goes along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for rate, parts in zip(b.column("rate").to_pylist(), b.column("parts").to_pylist(), strict=True):
-                s = sound.Sound(rate, bits, [np.array(p["samples"], np.int64) << (bits - 16) for p in parts])
+            for rate, ixml, parts in zip(b.column("rate").to_pylist(), b.column("ixml").to_pylist(), b.column("parts"), strict=True):
+                found = parts.values.field("samples")
+                s = sound.Sound(rate, bits, [found[k].values.to_numpy(zero_copy_only=False).astype(np.int64) << (bits - 16) for k in range(len(found))], ixml=ixml)
                 out.append(sound.write_wav(s) if form == "wav" else sound.write_aiff(s))
             yield pa.RecordBatch.from_arrays([b.column("file"), pa.array(out, pa.binary())], names=["path", "content"])
 
-    whole = channels.groupBy("file").agg(F.first("rate").alias("rate"), F.sort_array(F.collect_list(F.struct("channel", "samples"))).alias("parts"))
+    extra = F.first("ixml") if "ixml" in channels.columns else F.lit(None).cast("string")
+    whole = channels.groupBy("file").agg(F.first("rate").alias("rate"), extra.alias("ixml"), F.sort_array(F.collect_list(F.struct("channel", "samples"))).alias("parts"))
     return whole.mapInArrow(run, "path string, content binary")
 
 
@@ -152,7 +171,14 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         part = self.options.get("part", "packets")
         with open(partition.path, "rb") as f:
-            content = f.read(container.HEADER_SIZE) if part == "header" else f.read()
+            if part == "packets":  # the header, the seek table, and the bytes of the wanted frames
+                h, table, content, base = container.read_part(f, self.low, self.high)
+                found = container.read_packets(content, h, self.low, self.high, table, base)
+                yield from ((partition.path, p.frame_idx, p.channel, p.pkt_seq, p.comp_samples, p.payload) for p in found)
+                return
+            content = f.read(container.HEADER_SIZE)
+            if part == "seek":
+                content += f.read(container.SEEK_SIZE * container.read_header(content).seek_entry_count)
         yield from rows_of(partition.path, content, part, self.low, self.high)
 
 
@@ -175,8 +201,16 @@ class _Done(WriterCommitMessage):
         self.paths = paths
 
 
+def relative(path: str) -> str:
+    """A row's path below the target folder: without scheme and root, and never outside."""
+    out = os.path.normpath(re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:", "", path).lstrip("/"))
+    if out.split(os.sep)[0] in ("..", ".", ""):
+        raise ValueError(f"no file path: {path}")
+    return out
+
+
 class _Writer(DataSourceWriter):
-    """Writes each row's content beside its place and moves it there when the whole job commits."""
+    """Writes each row's content beside its place, under a name of its own, and moves it there when the whole job commits."""
 
     def __init__(self, options: dict, overwrite: bool):
         self.options, self.overwrite = options, overwrite
@@ -184,19 +218,24 @@ class _Writer(DataSourceWriter):
     def write(self, iterator):
         done = []
         for row in iterator:
-            target = os.path.join(self.options["path"], os.path.basename(row["path"]))
+            target = os.path.join(self.options["path"], relative(row["path"]))
             if os.path.exists(target) and not self.overwrite:
                 raise FileExistsError(target)
             os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(f"{target}.part", "wb") as f:
+            part = f"{target}.{uuid.uuid4().hex}.part"
+            with open(part, "wb") as f:
                 f.write(row["content"])
-            done.append((f"{target}.part", target))
+            done.append((part, target))
         return _Done(done)
 
     def commit(self, messages):
-        for m in messages:
-            for part, target in m.paths if m else []:
-                os.replace(part, target)
+        paths = [p for m in messages for p in (m.paths if m else [])]
+        twice = [t for t, n in Counter(t for _, t in paths).items() if n > 1]
+        if twice:
+            self.abort(messages)
+            raise ValueError(f"several rows for {twice[0]}")
+        for part, target in paths:
+            os.replace(part, target)
 
     def abort(self, messages):
         for m in messages:
@@ -206,7 +245,11 @@ class _Writer(DataSourceWriter):
 
 
 class FileSink(DataSource):
-    """``df.write.format("signalfiles").mode("overwrite" | "append").save(folder)`` for rows (path, content)."""
+    """``df.write.format("signalfiles").mode("overwrite" | "append").save(folder)`` for rows (path, content).
+
+    Folders in a path are kept below the target.  Two rows of one path fail
+    the job, as does, without "overwrite", a file that is there.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -153,7 +153,7 @@ def parse_aiff(content: bytes) -> Sound:
     if kind(content) != "aiff" or content[8:12] not in (b"AIFF", b"AIFC"):
         raise SoundError("not an AIFF file")
     found = chunks(content, ">")
-    if b"COMM" not in found or b"SSND" not in found or len(found[b"COMM"]) < 18:
+    if b"COMM" not in found or b"SSND" not in found or len(found[b"COMM"]) < 18 or len(found[b"SSND"]) < 8:
         raise SoundError("no format or no data")
     channels, n, bits = struct.unpack(">hIh", found[b"COMM"][:8])
     rate = from_extended(found[b"COMM"][8:18])

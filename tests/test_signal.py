@@ -29,7 +29,8 @@ def test_vectors():
     s, q = q8([1000, 1008, 1016, 1008])
     assert vbr.encode(q, s).hex(" ") == "07 7d 0f 08 f8 07"
     assert vbr.decode(vbr.encode(np.array([-28, 100, 100]), 1), 3)[1].tolist() == [-28, 101, 100]
-    assert vbr.decode(vbr.encode(np.array([-1, 127, 127]), 1), 3)[1].tolist() == [-1, -128, 127]
+    # The top value has no higher one: it goes one lower instead.
+    assert vbr.decode(vbr.encode(np.array([-1, 127, 127]), 1), 3)[1].tolist() == [-1, 126, 127]
 
 
 def test_column_vectors(spark):
@@ -60,6 +61,14 @@ def test_round_trip_is_lossless_without_end_marks(values, c):
         assert back.tolist() == q.tolist()
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([-1.0, -0.5, 0.0, 0.25, 0.5, 1.0, 1 / 127]), min_size=1, max_size=64), st.sampled_from([VBR8, VBR12]))
+def test_no_value_is_off_by_more_than_one(values, c):
+    top = (1 << (c.bits - 1)) - 1
+    q = np.round(np.array(values) * top).astype(int)
+    assert np.abs(vbr.decode(vbr.encode(q, 7, c), len(q), c)[1] - q).max() <= 1
+
+
 def test_bad_payloads():
     with pytest.raises(ValueError):
         vbr.encode(np.empty(0, int), 1)
