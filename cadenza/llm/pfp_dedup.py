@@ -10,23 +10,31 @@ of ``width`` bytes, and the parse contributes the order of occurrences.
 
 1. A scan parses the texts.  Within a block of documents equal phrases are
    brought together at once and only the first goes on under its trigger.
-2. Sorted by trigger, phrase and occurrence, the phrases are the dictionary.
-   All but the first occurrence of a phrase are covered whole.  A first
-   occurrence needs a closer look only if another phrase has its trigger.
-3. The windows of those phrases, the dictionary's suffixes of at least ``width``
-   bytes, are put in suffix order trigger by trigger, where equal windows are
-   neighbours: all but the first occurrence are covered.
+2. The parse is put in suffix order, as deep as it counts: a phrase holds each of its
+   windows whole, so its suffixes are told apart by their first phrase, and
+   sorting by trigger, phrase and occurrence is enough.  All but the first
+   occurrence of a phrase are covered whole.  A first occurrence needs a closer
+   look only if another phrase has its trigger.
+3. Those phrases are the dictionary.  Its suffix array is built from the bytes
+   themselves, by prefix doubling to ``width`` bytes, whole triggers at a time.  Within
+   equal suffixes the parse's order of occurrences takes over, which makes it
+   the corpus order of all windows: all but the first of equals are covered.
 4. The covered stretches meet their documents.
 
+Phrases are equal if their triggers and their BLAKE2b digests, salted by a random
+number that the driver draws for each call, are; windows are compared byte by byte.
+
 Sorting is Spark's and may spill; a worker holds a batch, or the phrases of
 triggers up to GROUP.  A trigger with more phrases has its windows sorted as
-rows.  One that a sample of documents shows in many different phrases
-is cut into windows before the first shuffle already, so that they spread by
-their own hashes; the sample decides the route only, not the result.
+rows of 128-bit salted digests.  One that a sample of documents shows in many
+different phrases is cut into windows before the first shuffle already, so that
+they spread by their own digests; the sample decides the route only, not the result.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,52 +57,47 @@ SAMPLE, CROWDED = 4000, 0.01
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def letters(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-
+#: What a byte stands for in the rolling hash of triggers (odd numbers from a fixed seed), and its base.
+LETTERS = np.random.default_rng(1).integers(1, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+BASE = 0xD6E8FEB86659FD95
 
-class Rolling:
-    """Hashes of any stretch of a buffer, from prefix sums of letters times powers (mod 2**64)."""
 
-    def __init__(self, seed: int):
-        base = (0xD6E8FEB86659FD93 + 2 * seed) % (1 << 64)
-        self.letters, self.size = letters(seed), 0
-        self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+def digests(raw: bytes, at: np.ndarray, size: np.ndarray, salt: bytes) -> np.ndarray:
+    """Two longs for each stretch of bytes: its salted 128-bit digest."""
+    h = hashlib.blake2b
+    joined = b"".join([h(raw[s:e], digest_size=16, salt=salt).digest() for s, e in zip(at.tolist(), (at + size).tolist(), strict=True)])
+    return np.frombuffer(joined, np.int64).reshape(-1, 2)
 
-    def powers(self, n: int) -> None:
-        if n > self.size:
-            self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, self.base)]))
-            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, self.inverse)]))
-            self.size = n
 
-    def sums(self, buf: np.ndarray) -> np.ndarray:
-        self.powers(len(buf) + 1)
-        out = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(self.letters[buf] * self.up[: len(buf)], out=out[1:])
-        return out
+def suffix_ranks(buf: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The rank in lexicographic order of the ``width`` (8 or more) bytes from each place; equal ones share a rank.
 
-    def of(self, sums: np.ndarray, at: np.ndarray, size) -> np.ndarray:
-        h = (sums[at + size] - sums[at]) * self.down[at]
-        h ^= h >> np.uint64(29)
-        return h * MIX + np.asarray(size).astype(np.uint64)
+    Prefix doubling: ranks of 8 bytes make those of 16, and so on; the last step
+    overlaps.
+    """
+    eight = np.lib.stride_tricks.sliding_window_view(np.append(buf, np.zeros(7, np.uint8)), 8)
+    rank, wide = np.unique(np.ascontiguousarray(eight).view(">u8").ravel().astype(np.uint64), return_inverse=True)[1].astype(np.uint64), 8
+    while 2 * wide <= width:
+        later = np.append(rank[wide:], np.zeros(min(wide, len(rank)), np.uint64))
+        rank, wide = np.unique(rank << np.uint64(32) | later, return_inverse=True)[1].astype(np.uint64), 2 * wide
+    return np.unique(rank[at] << np.uint64(32) | rank[at + width - wide], return_inverse=True)[1]
 
 
 class Parser:
-    def __init__(self, width: int, crowded: np.ndarray):
-        self.width, self.crowded = width, crowded
-        self.roll, self.other, self.third = Rolling(1), Rolling(2), Rolling(3)
+    def __init__(self, width: int, crowded: np.ndarray, salt: bytes):
+        self.width, self.crowded, self.salt = width, crowded, salt
 
     def windows(self, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
-    def __call__(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(segment, start in buf, size, trigger, phrase) of the phrases of segments of the buffer."""
+    def __call__(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(segment, start in raw, size, trigger, phrase) of the phrases of segments of the bytes."""
         w, long = self.width, ends - starts >= self.width
         segment, starts, counts = np.nonzero(long)[0], starts[long], (ends - starts)[long] - self.width + 1
         if not len(segment):
-            return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
-        b = [np.uint64(pow(int(self.roll.base), 1 << k, 1 << 64)) for k in range(4)]
-        h = self.roll.letters[buf]
+            return (np.empty(0, np.int64),) * 5
+        b = [np.uint64(pow(BASE, 1 << k, 1 << 64)) for k in range(4)]
+        h = LETTERS[np.frombuffer(raw, np.uint8)]
         for step in range(3):  # 2, 4, 8 bytes
             half = 1 << step
             h = h[:-half] * b[step] + h[half:]
@@ -114,19 +117,17 @@ class Parser:
         first = np.ones(len(p), bool)
         first[1:] = (at[1:] != at[:-1]) | (of[1:] != of[:-1])
         i = np.nonzero(first)[0]
-        a, many, trigger = p[i], np.diff(np.append(i, len(p))), mixed[at[i]]
+        a, many, trigger = p[i], np.diff(np.append(i, len(p))), mixed[at[i]].view(np.int64)
         size, seg = many + w - 1, of[i]
-        sums = self.other.sums(buf)
-        phrase = self.other.of(sums, a, size)
-        if len(self.crowded) and (hot := np.isin(trigger, self.crowded)).any():
-            single = self.windows(a[hot], many[hot])
-            n = np.full(len(single), w)
-            cold = ~hot
-            seg = np.concatenate([seg[cold], np.repeat(seg[hot], many[hot])])
-            a, size = np.concatenate([a[cold], single]), np.concatenate([size[cold], n])
-            trigger = np.concatenate([trigger[cold], self.third.of(self.third.sums(buf), single, n)])
-            phrase = np.concatenate([phrase[cold], self.other.of(sums, single, n)])
-        return seg, a, size, trigger, phrase
+        hot = np.isin(trigger, self.crowded)
+        cold = ~hot
+        whole = digests(raw, a[cold], size[cold], self.salt)[:, 0]
+        if not hot.any():
+            return seg, a, size, trigger, whole
+        single, n = self.windows(a[hot], many[hot]), int(many[hot].sum())
+        each = digests(raw, single, np.full(n, w), self.salt)
+        parts = (seg, np.repeat(seg[hot], many[hot])), (a, single), (size, np.full(n, w)), (trigger, each[:, 0])
+        return *(np.concatenate([x[cold], y]) for x, y in parts), np.concatenate([whole, each[:, 1]])
 
     def texts(self, raws: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
         """(document, start, size, trigger, phrase) for documents by number, some chunks at a time."""
@@ -138,8 +139,7 @@ class Parser:
         def flush() -> tuple[np.ndarray, ...]:
             sizes = np.array([len(x) for x in held], np.int64)
             ends = np.cumsum(sizes)
-            buf = np.frombuffer(b"".join(held), np.uint8)
-            seg, a, size, trigger, phrase = self(buf, ends - sizes, ends)
+            seg, a, size, trigger, phrase = self(b"".join(held), ends - sizes, ends)
             return np.array(whose, np.int64)[seg], a - (ends - sizes)[seg] + np.array(bases, np.int64)[seg], size, trigger, phrase
 
         for number, raw in raws:
@@ -180,13 +180,13 @@ def crowded_triggers(docs: DataFrame, width: int) -> np.ndarray:
     sample = docs.where(F.pmod(F.xxhash64("id", "uid"), F.lit(share)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parse = Parser(width, np.empty(0, np.uint64))
+        parse = Parser(width, np.empty(0, np.int64), b"")
         for b in batches:
             for _, _, _, trigger, phrase in parse.texts((i, (b.column("text")[i].as_py() or "").encode()) for i in range(b.num_rows)):
-                yield pa.RecordBatch.from_arrays([pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64))], names=["t", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(trigger), pa.array(phrase)], names=["t", "p"])
 
     found = sample.mapInArrow(run, "t long, p long").distinct().groupBy("t").count()
-    return np.array([r["t"] for r in found.where(F.col("count") > max(20, SAMPLE * CROWDED)).collect()], np.int64).view(np.uint64)
+    return np.array([r["t"] for r in found.where(F.col("count") > max(20, SAMPLE * CROWDED)).collect()], np.int64)
 
 
 def dictionary(rows: DataFrame, kind: str) -> DataFrame:
@@ -246,9 +246,10 @@ def covered(docs: DataFrame, width: int, group: int = GROUP) -> DataFrame:
     """(id, uid, at, size) of stretches whose windows all start earlier too; docs: id, uid, text."""
     kind = docs.schema["id"].dataType.simpleString()
     crowded = docs.sparkSession.sparkContext.broadcast(crowded_triggers(docs, width))
+    salt = os.urandom(16)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = Parser(width, crowded.value)
+        parser = Parser(width, crowded.value, salt)
 
         def block(ids: list[pa.Array], uids: list[pa.Array], found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
             if not found:
@@ -266,7 +267,7 @@ def covered(docs: DataFrame, width: int, group: int = GROUP) -> DataFrame:
             for lo in range(0, len(order), 1 << 16):
                 s = slice(lo, lo + (1 << 16))
                 pick = pa.array(doc[s])
-                yield pa.RecordBatch.from_arrays([pa.array(trigger[s].view(np.int64)), pa.array(phrase[s].view(np.int64)), id_.take(pick), uid.take(pick), pa.array(place[s])], names=["trigger", "phrase", "id", "uid", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(trigger[s]), pa.array(phrase[s]), id_.take(pick), uid.take(pick), pa.array(place[s])], names=["trigger", "phrase", "id", "uid", "place"])
 
         ids, uids, found, n, so_far = [], [], [], 0, 0
         for b in batches:
@@ -318,13 +319,13 @@ def covered(docs: DataFrame, width: int, group: int = GROUP) -> DataFrame:
             counts = size - width + 1
             within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             p = np.repeat(np.cumsum(size) - size, counts) + within
-            one, two = (r.of(r.sums(buf), p, width) for r in rolls)
+            rank = suffix_ranks(buf, p, width)
             phrase = np.repeat(np.arange(len(size)), counts)
             at = t.column("at").to_numpy()[phrase] + within
             by = in_order(t.column("id"), t.column("uid").to_numpy())[phrase]
-            order = np.lexsort((at, by, two, one))  # equal windows together, the first occurrence first
+            order = np.lexsort((at, by, rank))  # the corpus order: by suffix, then by occurrence
             new = np.ones(len(order), bool)
-            new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+            new[1:] = rank[order][1:] != rank[order][:-1]
             head = order[np.nonzero(new)[0][np.cumsum(new) - 1]]
             gone = np.zeros(len(p), bool)
             gone[order] = (by[order] != by[head]) | (at[order] != at[head])
@@ -336,7 +337,6 @@ def covered(docs: DataFrame, width: int, group: int = GROUP) -> DataFrame:
             pick = pa.array(phrase[run])
             return pa.RecordBatch.from_arrays([t.column("id").take(pick), t.column("uid").take(pick), pa.array(at[run]), pa.array((long + width - 1).astype(np.int32))], names=["id", "uid", "at", "size"])
 
-        rolls = Rolling(4), Rolling(5)
         held = None
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
@@ -354,18 +354,16 @@ def covered(docs: DataFrame, width: int, group: int = GROUP) -> DataFrame:
     out = spans.where("not closer").select("id", "uid", "at", "size").unionByName(small.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(suffixes, span))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolls = Rolling(4), Rolling(5)
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 t = b.slice(lo, 1024)
                 size = pc.binary_length(t.column("text")).to_numpy().astype(np.int64)
-                buf = np.frombuffer(b"".join(t.column("text").to_pylist()), np.uint8)
                 counts = size - width + 1
                 within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 p = np.repeat(np.cumsum(size) - size, counts) + within
                 whose = np.repeat(np.arange(len(size)), counts)
-                one, two = (pa.array(r.of(r.sums(buf), p, width).view(np.int64)) for r in rolls)
-                yield pa.RecordBatch.from_arrays([one, two, t.column("id").take(pa.array(whose)), t.column("uid").take(pa.array(whose)), pa.array(((t.column("at").to_numpy()[whose] + within) << 9) | width)], names=["trigger", "phrase", "id", "uid", "place"])
+                each = digests(b"".join(t.column("text").to_pylist()), p, np.full(len(p), width), salt)
+                yield pa.RecordBatch.from_arrays([pa.array(each[:, 0]), pa.array(each[:, 1]), t.column("id").take(pa.array(whose)), t.column("uid").take(pa.array(whose)), pa.array(((t.column("at").to_numpy()[whose] + within) << 9) | width)], names=["trigger", "phrase", "id", "uid", "place"])
 
     if not big.isEmpty():
         crowd = meet(look.join(big, "trigger", "left_semi")).mapInArrow(take, taken).mapInArrow(windows, keyed)
@@ -386,10 +384,10 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     with the same id and different texts are ordered by a hash of the text;
     rows that repeat id and text are one document and get the same result.  An
     empty table gives an empty result.  Only the named columns are read.
-    ``width`` must be from 32 to 140 (a phrase's size is kept in one byte).
+    ``width`` must be from 32 to 139 (a phrase's size is kept in one byte).
     """
-    if not 32 <= width <= 140:
-        raise ValueError("width must be from 32 to 140")
+    if not 32 <= width <= 139:
+        raise ValueError("width must be from 32 to 139")
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(text), F.lit(1 << 31)).cast("int").alias("uid"), text.alias("text"))
