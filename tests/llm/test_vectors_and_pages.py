@@ -67,7 +67,7 @@ def test_article_markup():
     <form><p>Mail</p><input name=x></form><ul><li>a<li>b</ul><section class="comments"><p>First!</p></section><table><tr><td>1<td>2</table>
     <pre>  x
     y </pre></article><aside><p>side</p></aside><footer>foot</footer></body></html>"""
-    assert text_of(page) == "T & U\n\nOne two\n\nthree é four\n\na\n\nb\n\n1\n\n2\n\nx y"
+    assert text_of(page) == "Head\n\nT & U\n\nOne two\n\nthree é four\n\na\n\nb\n\n1\n\n2\n\nx y"
 
 
 @pytest.mark.parametrize(("page", "want"), [
