@@ -8,17 +8,21 @@ windows with a term that the shard lacks drop out, the positions of a window's
 rarest term (rarest in this shard) become candidate starts, and the lists of
 its other terms, adjusted by their offsets, are intersected from rare to common
 until only exact phrases, or with ``slop`` proximity matches, are left.
-Nothing is shuffled.  A benchmark is taken in slices of a bounded number of
-windows, so what is broadcast does not grow with it.
+A benchmark is taken in slices of a bounded number of windows, so what is
+broadcast does not grow with it.  The postings stay as they are: a slice writes
+its hits alone, and only shards with hits of later slices are shuffled, without
+their postings.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +44,9 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def build_index(docs: DataFrame, *, id_col: str, text_col: str, gap: int) -> DataFrame:
-    """The index as rows (ids, starts, n_words, terms, counts, positions); documents lie ``gap`` positions apart."""
+    """The index as rows (shard, ids, starts, n_words, terms, counts, positions); documents lie ``gap`` positions apart."""
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"ids array<{kind}>, starts binary, n_words binary, terms binary, counts binary, positions binary"
+    schema = f"shard string, ids array<{kind}>, starts binary, n_words binary, terms binary, counts binary, positions binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[pa.Array] = []
@@ -50,9 +54,12 @@ def build_index(docs: DataFrame, *, id_col: str, text_col: str, gap: int) -> Dat
         sizes: list[int] = []
         term_ids: dict[bytes, int] = {}
         stream: list[np.ndarray] = []
-        end = 0
+        end = shards = 0
 
         def row(id_type: pa.DataType) -> pa.RecordBatch:
+            nonlocal shards
+            shards += 1
+            name = pa.array([f"{TaskContext.get().partitionId()}-{shards}"])
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, term_ids), np.uint64, len(term_ids))
             by_hash = np.argsort(hashes)
             place = np.empty(len(by_hash), np.int32)
@@ -63,7 +70,7 @@ def build_index(docs: DataFrame, *, id_col: str, text_col: str, gap: int) -> Dat
             cells = [np.array(starts, np.uint32), np.array(sizes, np.uint32), hashes[by_hash], np.bincount(terms, minlength=len(term_ids)).astype(np.uint32), at[order].astype(np.uint32)]
             flat = pa.concat_arrays(ids)
             listed = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat.cast(id_type))
-            return pa.RecordBatch.from_arrays([listed, *[pa.array([x.tobytes()], pa.binary()) for x in cells]], names=["ids", "starts", "n_words", "terms", "counts", "positions"])
+            return pa.RecordBatch.from_arrays([name, listed, *[pa.array([x.tobytes()], pa.binary()) for x in cells]], names=["shard", "ids", "starts", "n_words", "terms", "counts", "positions"])
 
         for b in batches:
             for i in range(b.num_rows):
@@ -87,7 +94,7 @@ class Windows:
 
     def __init__(self, hashes: np.ndarray, items: list[str]):
         self.terms, flat = np.unique(hashes, return_inverse=True)
-        self.at, self.items = flat.reshape(hashes.shape).astype(np.int32), items
+        self.at, self.items = flat.reshape(hashes.shape).astype(np.int32), pa.array(items, pa.string())
 
 
 def slices(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> Iterator[list[Windows]]:
@@ -144,11 +151,14 @@ def intersect(w: Windows, terms: np.ndarray, counts: np.ndarray, keys: np.ndarra
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+HITS = "hit_start array<int>, hit_size array<int>, hit_item array<string>"
+
+
 def search(index: DataFrame, windows: list[Windows], slop: int = 0) -> DataFrame:
-    """Adds to each row of the index what it has of these windows: hit_start, hit_size, hit_item."""
+    """(shard, ids, starts, n_words, hit_start, hit_size, hit_item): what each row of the index has of these windows."""
     spread = shared(index.sparkSession, windows)
-    hits = "hit_start array<int>, hit_size array<int>, hit_item array<string>"
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema if not f.name.startswith("hit_"))
+    kept = ["shard", "ids", "starts", "n_words"]
+    schema = ", ".join(f"{c} {index.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = spread()
@@ -159,18 +169,17 @@ def search(index: DataFrame, windows: list[Windows], slop: int = 0) -> DataFrame
                 terms, counts = cell("terms", np.uint64), cell("counts", np.uint32)
                 keys = (np.repeat(np.arange(len(terms), dtype=np.int64), counts) << 32) | cell("positions", np.uint32)
                 begins = np.cumsum(counts, dtype=np.int64) - counts
-                out: tuple[list, list, list] = ([], [], [])
-                if "hit_start" in r.schema.names:
-                    out = tuple(r.column(c)[0].as_py() for c in ("hit_start", "hit_size", "hit_item"))
+                start, size, item = [np.empty(0, np.int32)], [np.empty(0, np.int32)], [pa.array([], pa.string())]
                 for w in held:
-                    which, start = intersect(w, terms, counts, keys, begins, slop)
-                    out[0].extend(start.tolist())
-                    out[1].extend([w.at.shape[1]] * len(start))
-                    out[2].extend(w.items[k] for k in which.tolist())
-                rest = [r.column(c) for c in r.schema.names if not c.startswith("hit_")]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array([out[0]], pa.list_(pa.int32())), pa.array([out[1]], pa.list_(pa.int32())), pa.array([out[2]], pa.list_(pa.string()))], names=[*(c for c in r.schema.names if not c.startswith("hit_")), "hit_start", "hit_size", "hit_item"])
+                    which, at = intersect(w, terms, counts, keys, begins, slop)
+                    start.append(at.astype(np.int32))
+                    size.append(np.full(len(at), w.at.shape[1], np.int32))
+                    item.append(w.items.take(pa.array(which)))
+                cells = [pa.array(np.concatenate(start)), pa.array(np.concatenate(size)), pa.concat_arrays(item)]
+                one = pa.array([0, len(cells[0])], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(r.column(c) for c in kept), *(pa.ListArray.from_arrays(one, c) for c in cells)], names=[*kept, "hit_start", "hit_size", "hit_item"])
 
-    return index.mapInArrow(run, f"{schema}, {hits}")
+    return index.mapInArrow(run, f"{schema}, {HITS}")
 
 
 def by_document(searched: DataFrame) -> DataFrame:
@@ -181,14 +190,17 @@ def by_document(searched: DataFrame) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 starts, sizes = (np.frombuffer(b.column(c)[i].as_py(), np.uint32).astype(np.int64) for c in ("starts", "n_words"))
-                at, size, item = (b.column(c)[i].as_py() for c in ("hit_start", "hit_size", "hit_item"))
+                at, size, item = (b.column(c)[i].values for c in ("hit_start", "hit_size", "hit_item"))
+                at, size = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (at, size))
                 end = int(starts[-1] + sizes[-1])
                 edge = np.zeros(end + 1, np.int64)
                 np.add.at(edge, at, 1)
-                np.add.at(edge, np.minimum(np.add(at, size, dtype=np.int64), end) if at else [], -1)
+                np.add.at(edge, np.minimum(at + size, end), -1)
                 hit = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:end] > 0)])
                 items: list[list[str]] = [[] for _ in starts]
-                for d, x in {(d, x) for d, x in zip((np.searchsorted(starts + sizes, at, "right") if at else []), item, strict=True)}:
+                found = item.dictionary_encode()
+                pairs = np.unique(np.searchsorted(starts + sizes, at, "right") << 32 | found.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+                for d, x in zip((pairs >> 32).tolist(), found.dictionary.take(pa.array(pairs & 0xFFFFFFFF)).to_pylist(), strict=True):
                     items[d].append(x)
                 ids = b.column(0).slice(i, 1).flatten()
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(hit[starts + sizes] - hit[starts]), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["id", "n_words", "n_hit", "items"])
@@ -213,6 +225,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     index = stash(build_index(docs, id_col=id_col, text_col=text_col, gap=width + slop), "postings")
     parts = slices(benchmark, item_col, item_text_col, width)
     out = search(index, next(parts), slop)
-    for part in parts:
-        out = search(stash(out, "searched"), part, slop)
+    fields = ["hit_start", "hit_size", "hit_item"]
+    later = [stash(search(index, part, slop).where(F.size("hit_start") > 0).select("shard", *fields), "hits") for part in parts]
+    if later:
+        found = reduce(DataFrame.unionByName, later).groupBy("shard").agg(F.collect_list(F.struct(*fields)).alias("more"))
+        joined = [F.when(F.col("more").isNull(), F.col(c)).otherwise(F.concat(F.col(c), F.flatten(F.col(f"more.{c}")))).alias(c) for c in fields]
+        out = out.join(found, "shard", "left").select("ids", "starts", "n_words", *joined)
     return by_document(out).withColumnRenamed("id", id_col)
