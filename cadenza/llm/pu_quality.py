@@ -186,21 +186,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     A null text counts as empty and is scored.  A null id is scored and never
     learned from.  Repeated rows get equal scores.  Without any positive label
     every score is 0.5.  An empty table gives an empty result.  Extra columns
-    are kept, except names that start with ``_held_out``, ``_score`` or ``_predicted``.
+    are kept, whatever their names; ones called ``_held_out``, ``_score`` or
+    ``_predicted`` give way to the result's.
     """
     model = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)
     spread = shared(docs.sparkSession, model)
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("_held_out", "_score", "_predicted")], held_out_fold(F.col(f"`{id_col}`")).alias("_held_out"))
+    place = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = spread()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                score = sigmoid(m.logits(features(part.column("_t").to_pylist()))) if m else np.full(part.num_rows, 0.5)
-                rest = [c for c in part.schema.names if c != "_t"]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(score.astype(np.float64)), pa.array((score >= threshold).astype(np.int32))], names=[*rest, "_score", "_predicted"])
-
-    base = docs.withColumn("_held_out", held_out_fold(F.col(id_col)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.withColumn("_t", F.col(text_col)).mapInArrow(run, f"{schema}, _score double, _predicted int")
+                score = sigmoid(m.logits(features(part.column(place).to_pylist()))) if m else np.full(part.num_rows, 0.5)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score.astype(np.float64)), pa.array((score >= threshold).astype(np.int32))], names=[*part.schema.names, "_score", "_predicted"])
 
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.mapInArrow(run, f"{schema}, _score double, _predicted int")
