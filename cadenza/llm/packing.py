@@ -22,13 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import stash
 
-#: Rows of one length that one task ranks, about.
-RANKED = 4096
+#: Rows of one length that are ranked together, about.
+RANKED = 512
 #: Distinct words whose ids a worker remembers.
 WORDS = 400_000
 #: Steps of multiplicative weights; each prices one pattern.
@@ -119,12 +120,12 @@ class Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, capacity: int, end_id: int, keep_ids: bool) -> DataFrame:
-    """(id, piece, start, length, ids_crc32[, ids]) of every document's pieces."""
+    """(id, piece, start, length, ids_crc32, place[, ids]) of every document's pieces; ``place`` tells apart rows that repeat."""
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode, place = Encoder(tokenizer), TaskContext.get().partitionId() << 40
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -135,10 +136,11 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, capac
                         own = ids[begin : begin + 4 * capacity]
                         for column, x in zip(out, (i, k, begin // 4, len(own) // 4, zlib.crc32(own), own), strict=True):
                             column.append(x)
-                cells = [part.column(0).take(pa.array(out[0], pa.int32())), pa.array(out[1], pa.int32()), *[pa.array(x, pa.int64()) for x in out[2:5]]]
-                yield pa.RecordBatch.from_arrays([*cells, *([pa.array(out[5], pa.binary())] if keep_ids else [])], names=["id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
+                place += len(out[0])
+                cells = [part.column(0).take(pa.array(out[0], pa.int32())), pa.array(out[1], pa.int32()), *[pa.array(x, pa.int64()) for x in out[2:5]], pa.array(np.arange(place - len(out[0]), place))]
+                yield pa.RecordBatch.from_arrays([*cells, *([pa.array(out[5], pa.binary())] if keep_ids else [])], names=["id", "piece", "start", "length", "ids_crc32", "place", *(["ids"] if keep_ids else [])])
 
-    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
+    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long, place long" + (", ids binary" if keep_ids else "")
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -276,11 +278,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
     spread = rows.sparkSession.sparkContext.broadcast(plan)
 
     salts = rows.sparkSession.createDataFrame([(n, 1 + c // RANKED) for n, c in bars], "length long, salts long")
-    salted = rows.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "start"), F.col("salts"))).drop("salts")
+    salted = rows.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("place"), F.col("salts"))).drop("salts")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(base, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base")).drop("salt", "base")
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("place")) - 1)
+    ranked = ranked.join(base, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base")).drop("salt", "base", "place")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = spread.value
