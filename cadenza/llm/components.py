@@ -2,7 +2,8 @@
 
 The published two-phase algorithm: every round links each node straight to the
 smallest neighbour, until all links form stars.  Links stay in tables; the
-driver sees counts only.
+driver sees counts only.  The smallest neighbours are a table as well, so that a join with
+them is one of two plain shuffles, which Spark splits where a node has very many links.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         if parents.join(tops, "a", "left").where("n > 1").isEmpty() and now.join(tops, "a", "left_semi").isEmpty():
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = stash(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+        large = stash(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        low = stash(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         hop = large.join(low, "a")
         small = hop.where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         now = stash(small.distinct(), "edges")

@@ -77,17 +77,17 @@ def blocks_for(nodes: int, differing: int) -> int:
 
 
 def forest(fps: np.ndarray, differing: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of the pairs at most ``differing`` bits apart; compares in blocks of rows."""
+    """Links of a spanning forest of the pairs at most ``differing`` bits apart, a row against all others at a time."""
     n = len(fps)
     label = np.arange(n)
     a: list[int] = []
     b: list[int] = []
     for at in range(0, n, 512):
         near = np.bitwise_count(fps[at : at + 512, None] ^ fps[None, :]) <= differing
-        rows, cols = np.nonzero(np.triu(near, at + 1))
-        for i, j in zip((rows + at).tolist(), cols.tolist(), strict=True):
-            if label[i] != label[j]:
-                lo, hi = min(label[i], label[j]), max(label[i], label[j])
+        for i, row in enumerate(near, at):
+            new = np.nonzero(row & (label != label[i]))[0]
+            for j in new[np.unique(label[new], return_index=True)[1]].tolist():  # one link to each tree, so n - 1 in all at most
+                lo, hi = sorted((label[i], label[j]))
                 label[label == hi] = lo
                 a.append(i)
                 b.append(j)
