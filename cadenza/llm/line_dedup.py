@@ -3,7 +3,13 @@
 Normalised lines are exploded and hashed; the hashes that many documents hold
 are counted; each document then loses the positions so found and is put
 together again from the rest.  Only hashes, ids and positions are shuffled for
-the count.  The texts move once, to meet their dropped positions.
+the count.
+
+A line that very many rows hold is not brought together in one task: at most
+``HOT`` lines can hold more than one ``HOT``-th of all rows each, so these, a
+table of bounded size, are broadcast to the places, and only the others are
+joined by their hash.  The texts move once, unsplit and unsorted, to meet their
+dropped positions, which are small and make the hash table of that join.
 """
 
 from __future__ import annotations
@@ -14,6 +20,8 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import fold_case, stash
 
 SPACE = " \t\n\x0b\x0c\r"
+#: Lines that are broadcast, at most: those with more than a HOT-th of all places, and more than COLD of them.
+HOT, COLD = 50_000, 1024
 
 
 def line_keys(text: Column) -> Column:
@@ -31,34 +39,32 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     document is an id: rows with the same id count once towards ``min_docs``, a
     null id is an id of its own below all others, and rows that repeat an id
     and text get the same result.  An empty table gives an empty result.  Extra
-    columns are kept, whatever their names, except names that start with ``_ld_``.
+    columns are kept, whatever their names; ones called ``_n_lines`` or
+    ``_n_dropped`` give way to the result's.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.withColumns({"_ld_id": F.struct(F.col(id_col).alias("id")), "_ld_uid": F.xxhash64(text)})
-    keyed = base.select("_ld_id", "_ld_uid", F.posexplode(line_keys(text)).alias("pos", "key")).where(F.length("key") >= min_chars)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
+    base = row.select("row", F.struct(F.col(f"row.`{id_col}`").alias("id")).alias("id"), F.xxhash64(text).alias("uid"))
+    keyed = base.select("id", "uid", F.posexplode(line_keys(text)).alias("pos", "key")).where(F.length("key") >= min_chars)
     # 96 bits of hash stand for the line from here on.
-    places = stash(keyed.select("_ld_id", "_ld_uid", "pos", F.xxhash64("key").alias("h1"), F.crc32(F.col("key").cast("binary")).alias("h2")), "line_places")
+    places = stash(keyed.select("id", "uid", "pos", F.xxhash64("key").alias("h1"), F.crc32(F.col("key").cast("binary")).alias("h2")), "line_places")
 
-    frequent = (
-        places.groupBy("h1", "h2")
-        .agg(F.count_distinct("_ld_id").alias("n"), F.max("_ld_id").alias("keeper"))
-        .where(F.col("n") >= min_docs)
-        .drop("n")
-    )
-    dropped = (
-        places.join(frequent, ["h1", "h2"])
-        .where(F.col("_ld_id") < F.col("keeper"))
-        .groupBy("_ld_id", "_ld_uid")
-        .agg(F.collect_set("pos").alias("_ld_drop"))
-    )
-    lines = base.withColumn("_ld_lines", F.split(text, "\n", -1)).drop(text_col)
-    joined = lines.join(dropped, ["_ld_id", "_ld_uid"], "left")
-    every = F.sequence(F.lit(0), F.size("_ld_lines") - 1)
-    left = F.when(F.col("_ld_drop").isNull(), F.col("_ld_lines")).otherwise(
-        F.transform(F.array_except(every, F.col("_ld_drop")), lambda i: F.get(F.col("_ld_lines"), i))
-    )
+    held = places.groupBy("h1", "h2", "id").agg(F.count(F.lit(1)).alias("n"))
+    frequent = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.max("id").alias("keeper")).where(F.col("docs") >= min_docs)
+    frequent = stash(frequent.select("h1", "h2", "n", "keeper"), "frequent_lines")
+    many = max(COLD, places.count() // HOT)
+    hot = frequent.where(F.col("n") > many).drop("n")
+    met = places.join(F.broadcast(hot), ["h1", "h2"], "left")
+    cold = met.where("keeper IS NULL").drop("keeper").join(frequent.where(F.col("n") <= many).drop("n"), ["h1", "h2"])
+    gone = met.where("keeper IS NOT NULL").unionByName(cold).where(F.col("id") < F.col("keeper"))
+    dropped = gone.groupBy("id", "uid").agg(F.collect_set("pos").alias("drop"))
+
+    joined = base.join(dropped.hint("shuffle_hash"), ["id", "uid"], "left")
+    lines = F.split(text, "\n", -1)
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop")), lambda i: F.get(lines, i))
+    kept = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(left, "\n"))
     return joined.select(
-        *[F.array_join(left, "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
-        F.size("_ld_lines").cast("long").alias("_n_lines"),
-        F.coalesce(F.size("_ld_drop"), F.lit(0)).cast("long").alias("_n_dropped"),
+        *[kept.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("_n_lines", "_n_dropped")],
+        F.size(lines).cast("long").alias("_n_lines"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("_n_dropped"),
     )
