@@ -2,23 +2,27 @@
 
 The first layer of a document is its text.  Every layer is scanned by the base
 patterns; then whatever it has of percent escapes, Unicode escapes and
-character references, base64 runs and, inside those, compressed data is decoded
+character references, base64 runs and compressed data in any of these is decoded
 into further layers, each with a map from its characters to code points of the
 document.  A layer that was seen before over the same place is not taken up
 again, which ends cycles, and the worklist is done when no new layer appears.
-Escapes are decoded by the line, base64 by the run, so layers stay small.
+Escapes are decoded by the line, base64 by the run.  Compressed data unfolds as a
+stream, looked into by overlapping pieces, and the worklist goes depth first, so
+a worker holds a piece for each level, whatever the data unfold to.
 """
 
 from __future__ import annotations
 
 import base64
 import bz2
+import codecs
 import hashlib
 import html
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("assign", "access", "hex", "bomb")
+KINDS = ("assign", "access", "hex")
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -45,8 +49,15 @@ STRETCHES = ((re.compile(rb"[\t-\r\x20-\x7e]{12,}"), 0, 1), (re.compile(rb"(?:[\
 HEX_BYTES = bytes(ord("x") if chr(c) in "0123456789abcdef" else 0x20 for c in range(256))
 RUN_BYTES = bytes(ord("x") if chr(c).isascii() and (chr(c).isalnum() or chr(c) in "+/-_") else 0x20 for c in range(256))
 
-#: Bytes that one compressed layer may unfold to; a larger one is reported as a span of kind "bomb".
-LAYER_BYTES = 64 << 20
+#: How compressed data begin (gzip, zlib, bzip2, xz, Zstandard), as characters, and with percent escapes.
+MAGIC = re.compile("\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\\(\xb5/\xfd|x[\x01\x5e\x9c\xda]")
+MAGIC_PERCENT = re.compile(r"%1[fF]%8[bB]%08|(?:BZh|%42%5[aA]%68)[1-9%]|%[fF][dD](?:7|%37)|(?:\(|%28)%[bB]5(?:/|%2[fF])%[fF][dD]|(?:x|%78)%(?:9[cC]|[dD][aA]|01|5[eE])")
+NARROW, UNBROKEN = re.compile("[\x00-\xff]*"), re.compile(r"[^\s\"'<>]*")
+
+#: Bytes of unfolded data that are looked at at a time, and that the next such piece sees again.
+PIECE, OVERLAP = 16 << 20, 1 << 20
+
+codecs.register_error("cadenza_latin", lambda e: (e.object[e.start : e.end].decode("latin-1"), e.end))
 
 Span = tuple[int, int, int]
 
@@ -100,11 +111,9 @@ def rewritten(layer: Layer, lo: int, hi: int, pattern: re.Pattern, decode) -> La
     return Layer(text, np.concatenate([*starts, layer.starts[at:hi]]), np.concatenate([*ends, layer.ends[at:hi]])) if text else None
 
 
-def percent(run: str) -> str | None:
-    try:
-        return unquote_to_bytes(run).decode()
-    except UnicodeDecodeError:
-        return None
+def percent(run: str) -> str:
+    """UTF-8, and what isn't byte by byte."""
+    return unquote_to_bytes(run).decode("utf-8", "cadenza_latin")
 
 
 def escape(token: str) -> str | None:
@@ -123,42 +132,85 @@ def is_text(raw: bytes) -> str | None:
     return None if re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else text
 
 
-def members(raw: bytes, most: int, fresh) -> bytes:
-    """All members of compressed data, one after the other; what follows the last whole one is left."""
-    out = b""
-    while raw and len(out) <= most:
-        one = fresh()
-        try:
-            out += one.decompress(raw, most + 1 - len(out))
-        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-            if out:
-                break
-            raise
-        raw = one.unused_data
-    return out
+def decoder(head: bytes) -> Callable | None:
+    """What makes decompressors for data that begin like this."""
+    if head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] & 15 == 8 and int.from_bytes(head[:2], "big") % 31 == 0):
+        return lambda: zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
 
-
-def unfolded(raw: bytes, most: int) -> bytes | None:
-    """What compressed data unfolds to, one byte more than ``most`` at the utmost; None if it isn't any."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and int.from_bytes(raw[:2], "big") % 31 == 0):
-            return members(raw, most, lambda: zlib.decompressobj(47))
-        if raw[:3] == b"BZh":
-            return members(raw, most, bz2.BZ2Decompressor)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return members(raw, most, lzma.LZMADecompressor)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read(most + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    except Exception as e:  # zstandard's error has no common base
-        if type(e).__name__ != "ZstdError":
-            raise
+        return lambda: zstandard.ZstdDecompressor().decompressobj()
     return None
 
 
+def unfolding(chunks: Iterator[bytes], fresh: Callable, most: int = 1 << 18) -> Iterator[bytes]:
+    """What all members of compressed data hold, in small parts; ends where they end or break."""
+    one = fresh()
+    bounded = hasattr(one, "needs_input") or type(one).__module__ == "zlib"  # takes a bound on what it gives
+    step = 1 << 12 if bounded else 1 << 8
+    for chunk in chunks:
+        for at in range(0, len(chunk), step):
+            rest = chunk[at : at + step]
+            while rest or (bounded and not getattr(one, "needs_input", True)):
+                try:
+                    out = one.decompress(rest, most) if bounded else one.decompress(rest)
+                except Exception as e:  # zstandard's error has no common base with the others
+                    if isinstance(e, (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError)) or type(e).__name__ == "ZstdError":
+                        return
+                    raise
+                if out:
+                    yield out
+                if one.eof:
+                    rest, one = one.unused_data, fresh()
+                else:  # zlib hands back what it did not get to; others keep it
+                    rest = one.unconsumed_tail if bounded and not hasattr(one, "needs_input") else b""
+
+
+def gathered(chunks: Iterator[bytes], size: int) -> tuple[bytes, Iterator[bytes]]:
+    """The first ``size`` bytes or some more, and the chunks after them."""
+    held, n = [], 0
+    for c in chunks:
+        held.append(c)
+        n += len(c)
+        if n >= size:
+            break
+    return b"".join(held), chunks
+
+
+def pieces_of(raw: bytes, piece: int, overlap: int) -> Iterator[bytes]:
+    """What compressed data hold once all their levels are unfolded, by overlapping pieces; nothing if they aren't compressed data."""
+    head, rest, seen = raw, iter(()), set()
+    while fresh := decoder(head):
+        digest = hashlib.sha256(head).digest()
+        inner, more = gathered(unfolding(chain([head], rest), fresh), piece)
+        if not inner or digest in seen:  # not compressed after all, or data that unfold to themselves
+            break
+        seen.add(digest)
+        head, rest = inner, more
+    if not seen:
+        return
+    while True:
+        yield head
+        new, rest = gathered(rest, piece - overlap)
+        if not new:
+            return
+        head = head[-overlap:] + new
+
+
+def views(raw: bytes) -> Iterator[str]:
+    """Bytes as text, whole if they are, else their printable stretches; a piece may begin or end inside a character."""
+    inner = raw.lstrip(bytes(range(0x80, 0xC0))) if raw[:1] >= b"\x80" else raw
+    for cut in range(4):
+        if text := is_text(inner[: len(inner) - cut]):
+            yield text
+            return
+    yield from (text for text, _ in stretches(raw))
+
+
 def stretches(raw: bytes) -> Iterator[tuple[str, np.ndarray]]:
     """Printable parts of bytes that aren't text, and the byte of each character."""
     for pattern, first, step in STRETCHES:
@@ -172,45 +224,51 @@ def unbase(part: bytes) -> bytes:
     return base64.urlsafe_b64decode(part.replace(b"+", b"-").replace(b"/", b"_") + b"=" * (-len(part) % 4))
 
 
-def decoded_run(layer: Layer, start: int, found: str, most: int) -> list[Layer | tuple[int, int]]:
-    """The layers inside a base64 run that starts there, or the place of a bomb."""
+def flat_layer(text: str, place: tuple[int, int]) -> Layer:
+    """A layer all of whose characters stand for one place; the map takes no memory."""
+    return Layer(text, *(np.broadcast_to(np.int64(x), len(text)) for x in place))
+
+
+def decoded_run(layer: Layer, start: int, found: str, piece: int, overlap: int) -> Iterator[Layer]:
+    """The layers inside a base64 run that starts there."""
     chars = np.frombuffer(found.encode("ascii"), np.uint8)
     at = start + np.nonzero((chars != 10) & (chars != 13) & (chars != 61))[0]
     body = bytes(chars[at - start])
-    s, e = layer.place(start, start + len(found))
-    whole = lambda text: Layer(text, np.full(len(text), s), np.full(len(text), e))
-    out: list[Layer | tuple[int, int]] = []
+    place = layer.place(start, start + len(found))
     # A path or a word may stand before: its length is any, so compressed data may begin at each mark.
     marks = {p for m in re.finditer(rb"[/_-]", body) for p in (m.start(), m.end())} - set(range(4))
     for skip in [*range(4), *sorted(marks)]:
         part = body[skip:]
         if len(part) - (len(part) % 4 == 1) < 16:
             break
-        head = unbase(part[:8])
-        folds = head[:2] == b"\x1f\x8b" or head[:3] == b"BZh" or head[:6] == b"\xfd7zXZ\x00" or head[:4] == b"\x28\xb5\x2f\xfd" or (head[0] & 15 == 8 and int.from_bytes(head[:2], "big") % 31 == 0)
+        folds = decoder(unbase(part[:8])) is not None
         if skip > 3 and not folds:
             continue
-        raw = unbase(part)
-        if folds and (flat := unfolded(raw, most)) is not None:
-            levels = 1
-            while len(flat) <= most and (more := unfolded(flat, most)) is not None and levels < 64:
-                flat, levels = more, levels + 1
-            if len(flat) > most:
-                return [(s, e)]
-            if text := is_text(flat):
-                return [whole(text)]
-            out += [whole(text) for text, _ in stretches(flat)]
-        elif skip > 3:
+        raw, any_ = unbase(part), False
+        if folds:
+            for unfolded in pieces_of(raw, piece, overlap):
+                any_ = True
+                yield from (flat_layer(text, place) for text in views(unfolded))
+        if any_ or skip > 3:
             continue
-        elif text := is_text(raw):
-            own = at[skip:]
+        own = at[skip:]
+        if text := is_text(raw):
             first = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])]) if not text.isascii() else np.arange(len(text) + 1)
             lo, hi = first[:-1], first[1:] - 1
-            return [Layer(text, layer.starts[own[lo * 4 // 3]], layer.ends[own[np.minimum(hi * 4 // 3 + 1, len(own) - 1)]])]
-        else:
-            own = at[skip:]
-            out += [Layer(text, layer.starts[own[b * 4 // 3]], layer.ends[own[np.minimum(b * 4 // 3 + 1, len(own) - 1)]]) for text, b in stretches(raw)]
-    return out
+            yield Layer(text, layer.starts[own[lo * 4 // 3]], layer.ends[own[np.minimum(hi * 4 // 3 + 1, len(own) - 1)]])
+            return
+        for text, b in stretches(raw):
+            yield Layer(text, layer.starts[own[b * 4 // 3]], layer.ends[own[np.minimum(b * 4 // 3 + 1, len(own) - 1)]])
+
+
+def bare_data(layer: Layer, piece: int, overlap: int) -> Iterator[Layer]:
+    """What compressed data hold that stand in a layer as characters, or as percent escapes among them."""
+    for pattern, run, raw in ((MAGIC, NARROW, lambda t: t.encode("latin-1")), (MAGIC_PERCENT, UNBROKEN, lambda t: unquote_to_bytes(t))):
+        for m in pattern.finditer(layer.text):
+            found = run.match(layer.text, m.start())
+            place = layer.place(found.start(), found.end())
+            for unfolded in pieces_of(raw(found[0]), piece, overlap):
+                yield from (flat_layer(text, place) for text in views(unfolded))
 
 
 def wrapped(text: str) -> Iterator[tuple[int, str]]:
@@ -244,44 +302,49 @@ def lines_with(text: str, pattern: re.Pattern, found: re.Match | None) -> Iterat
         found = pattern.search(text, hi)
 
 
-def scan(text: str | None, most: int = LAYER_BYTES) -> tuple[list[Span], list[Span]]:
+def inside(layer: Layer, piece: int, overlap: int) -> Iterator[Layer]:
+    """The layers that a layer holds, one at a time."""
+    for mark, pattern, decode in (("%", PERCENT, percent), ("\\&", ESCAPE, escape)):
+        if any(x in layer.text for x in mark):
+            for lo, hi in lines_with(layer.text, pattern, pattern.search(layer.text)):
+                if child := rewritten(layer, lo, hi, pattern, decode):
+                    yield child
+    yield from bare_data(layer, piece, overlap)
+    for start, found in chain(((m.start(), m[0]) for m in RUN.finditer(layer.text)), wrapped(layer.text)):
+        yield from decoded_run(layer, start, found, piece, overlap)
+
+
+def scan(text: str | None, piece: int = PIECE, overlap: int = OVERLAP) -> tuple[list[Span], list[Span]]:
     """The base spans, and all spans, of one text; each sorted by start, then kind, then end."""
     text = text or ""
     raw = text.encode()
     base = base_spans(text, raw)
     spans = set(base)
-    work: list[Layer] = []
-    if "%" in text or "\\" in text or "&" in text or b"x" * 16 in raw.translate(RUN_BYTES) or LINES.search(text):
-        work.append(Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1)))
+    work: list[Iterator[Layer]] = []
+    if "%" in text or "\\" in text or "&" in text or b"x" * 16 in raw.translate(RUN_BYTES) or LINES.search(text) or MAGIC.search(text):
+        work.append(inside(Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1)), piece, overlap))
     seen: set[tuple[bytes, int, int]] = set()
     while work:
-        layer = work.pop()
-        new: list[Layer | tuple[int, int] | None] = []
-        for mark, pattern, decode in (("%", PERCENT, percent), ("\\&", ESCAPE, escape)):
-            if any(x in layer.text for x in mark):
-                new += [rewritten(layer, lo, hi, pattern, decode) for lo, hi in lines_with(layer.text, pattern, pattern.search(layer.text))]
-        for start, found in [*((m.start(), m[0]) for m in RUN.finditer(layer.text)), *wrapped(layer.text)]:
-            new += decoded_run(layer, start, found, most)
-        for child in new:
-            if child is None:
-                continue
-            if isinstance(child, tuple):
-                spans.add((3, *child))
-            elif (key := child.key()) not in seen:
-                seen.add(key)
-                spans |= {(kind, *child.place(a, b)) for kind, a, b in base_spans(child.text, child.text.encode())}
-                work.append(child)
+        child = next(work[-1], None)
+        if child is None:
+            work.pop()
+        elif (key := child.key()) not in seen:
+            seen.add(key)
+            spans |= {(kind, *child.place(a, b)) for kind, a, b in base_spans(child.text, child.text.encode())}
+            work.append(inside(child, piece, overlap))
     order = lambda s: (s[1], s[0], s[2])
     return sorted(base, key=order), sorted(spans, key=order)
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", layer_bytes: int = LAYER_BYTES) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = PIECE, overlap_bytes: int = OVERLAP) -> DataFrame:
     """One row per row of ``docs``: its id, ``base`` and ``spans``, arrays of (kind, start, end).
 
-    Kinds are assign, access and hex, and bomb for a compressed layer that
-    unfolds to more than ``layer_bytes`` (it is reported, not looked into).
-    Places are code points of the text, the end exclusive; ``base`` holds what
-    the text itself shows, ``spans`` adds what its layers hide.
+    Kinds are assign, access and hex.  Places are code points of the text, the
+    end exclusive; ``base`` holds what the text itself shows, ``spans`` adds what
+    its layers hide.  Compressed data are looked into whole, whatever they unfold
+    to, by pieces of ``piece_bytes``, each of which sees the last ``overlap_bytes``
+    of the one before; only an encoded run inside them that is longer than the
+    overlap may be cut by a piece's end, and is then decoded in two parts.
 
     A null text counts as empty and has no spans.  Null ids and repeated rows
     are kept.  An empty table gives an empty result.  Only the named columns
@@ -293,7 +356,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [scan(b.column(1)[i].as_py(), layer_bytes) for i in range(b.num_rows)]
+            found = [scan(b.column(1)[i].as_py(), piece_bytes, overlap_bytes) for i in range(b.num_rows)]
             cells = [pa.array([[{"kind": KINDS[k], "start": s, "end": e} for k, s, e in f[j]] for f in found], as_type) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cells], names=["id", "base", "spans"])
 
