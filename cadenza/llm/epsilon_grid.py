@@ -8,12 +8,15 @@ Unit vectors with a cosine of at least t are at most eps = sqrt(2 - 2t) apart.
 3. Rows are sorted by label and by grid cell (side eps) of their projections,
    cell by cell in lexicographic order, and cut into sequence intervals of
    bounded size with their bounding boxes.
-4. Intervals of a label whose boxes are at most eps apart are joined, one pair
-   of intervals a row, found by the cells of the first direction.  Within a
-   pair the join halves its intervals recursively and skips parts that are
-   provably distant; the rest is compared in double precision.
-5. A pair of intervals reports link counts by vector and a spanning forest of
-   its links, never the pairs, and components follow by star contraction.
+4. The join is recursive.  Stretches of ``BRANCH`` range partitions, stretches of
+   those, and so on have boxes too; from the whole sequence of a label down, each
+   pair of stretches whose boxes are at most eps apart is replaced by the pairs
+   of their parts, as rows of a table.  What is provably distant is skipped high up.
+5. The pairs of intervals that are left are compared by tile, a pair of range
+   partitions: a tile gets each of its intervals once.  Within a pair of intervals
+   the recursion goes on by halves, and the rest is compared in double precision.
+6. A tile reports link counts by vector and a spanning forest of its links,
+   never the pairs, and components follow by star contraction.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import stash
@@ -31,6 +34,8 @@ from cadenza.llm.components import connected_components
 
 #: Vectors of an interval, at most; intervals of up to LEAF are compared outright.
 INTERVAL, LEAF = 512, 64
+#: Intervals of a range partition, about, and parts that a stretch is made of (a power of 2).
+PARTITION, BRANCH = 16, 8
 #: Principal directions that are projected on, and of these the ones in the grid order.
 DIRECTIONS, ORDERED = 16, 6
 #: Vectors that the directions are fitted on.
@@ -148,7 +153,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     values = F.col(vector_col).cast("array<double>")
     finite = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     able = F.coalesce(F.col(label_col).isNotNull() & finite & F.exists(values, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), values.alias("v"), able.alias("able")).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64("v", F.size("v")))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), values.alias("v"), able.alias("able")).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), F.reverse("v")))  # two hashes that fail apart
     classes = stash(rows.where("able").groupBy("label", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.first("v").alias("v"), F.min("id").alias("least")), "classes")
 
     sample = [np.array(r["v"]) for r in classes.orderBy("h1", "h2").limit(SAMPLE).select("v").collect()]
@@ -172,7 +177,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     kind, label = (vectors.schema[c].dataType.simpleString() for c in (id_col, label_col))
     schema = f"label {label}, h1 long, h2 long, n long, v array<double>, least {kind}"
     cells = classes.mapInArrow(keyed, f"{schema}, dim int, {', '.join(f'{c} long' for c in order)}, first double")
-    parts = 1 + classes.count() // (16 * INTERVAL)
+    parts = 1 + classes.count() // (PARTITION * INTERVAL)
     # Within a crowded cell the first direction itself goes on splitting.
     sorted_ = cells.repartitionByRange(parts, "label", "dim", *order, "first", "h1").sortWithinPartitions("label", "dim", *order, "first", "h1", "h2")
 
@@ -207,39 +212,65 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     listed = f"h1 array<long>, h2 array<long>, least array<{kind}>"
     intervals = stash(sorted_.mapInArrow(cut, f"interval long, label {label}, dim int, x binary, n binary, lo array<double>, hi array<double>, {listed}"), "intervals")
 
-    box = intervals.select("interval", "label", "dim", "lo", "hi")
-    cell = lambda c: F.floor(F.col(c)[0] / eps)
-    left = box.select("label", "dim", F.col("interval").alias("i"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.explode(F.sequence(cell("lo"), cell("hi"))).alias("c"))
-    right = box.select("label", "dim", F.col("interval").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.sequence(cell("lo") - 1, cell("hi") + 1)).alias("c"))
-    gap = F.transform(F.arrays_zip("lo1", "hi1", "lo2", "hi2"), lambda x: F.greatest(F.lit(0.0), x["lo1"] - x["hi2"], x["lo2"] - x["hi1"]))
-    square = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x)
-    pairs = left.join(right, ["label", "dim", "c"]).where((F.col("i") <= F.col("j")) & (square <= (2 - 2 * cosine) * (1 + 1e-9) + 1e-12)).select("i", "j").distinct()
-    side = lambda k: intervals.select(F.col("interval").alias(k), F.col("dim").alias(f"dim_{k}"), F.col("x").alias(f"x_{k}"), F.col("n").alias(f"n_{k}"))
-    met = pairs.join(side("i"), "i").join(side("j"), "j")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                b = batch.slice(r, 1)
-                i, j = (b.column(k)[0].as_py() for k in "ij")
-                n, m = (np.frombuffer(b.column(f"n_{k}")[0].as_py(), np.int64) for k in "ij")
-                x, y = (unit(np.frombuffer(b.column(f"x_{k}")[0].as_py(), np.float64).reshape(-1, b.column("dim_i")[0].as_py())) for k in "ij")
-                a, c = Pair(x, y, projected(x, axes.value), projected(y, axes.value), cosine, i == j).links()
-                if not len(a):
-                    continue
-                if i == j:
-                    counts = np.bincount(a, n[c], len(x)) + np.bincount(c, n[a], len(x))
-                    nodes, tree = i + np.arange(len(x)), forest(len(x), a, c)
-                else:
-                    counts = np.concatenate([np.bincount(a, m[c], len(x)), np.bincount(c, n[a], len(y))])
-                    nodes, tree = np.concatenate([i + np.arange(len(x)), j + np.arange(len(y))]), forest(len(x) + len(y), a, c + len(x))
-                some = np.nonzero(counts)[0]
-                ends = np.array(tree).reshape(-1, 2)
-                empty = pa.nulls(len(some), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(counts[some].astype(np.int64)), empty], names=["a", "n", "b"])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[ends[:, 0]]), pa.nulls(len(ends), pa.int64()), pa.array(nodes[ends[:, 1]])], names=["a", "n", "b"])
-
-    found = stash(met.mapInArrow(compare, "a long, n long, b long"), "links")
+    reach = (2 - 2 * cosine) * (1 + 1e-9) + 1e-12
+
+    def boxes(of: DataFrame, node: Column) -> DataFrame:
+        """The boxes of nodes that rows with boxes belong to."""
+        edge = lambda f, c: F.array(*[f(F.col(c)[k]) for k in range(DIRECTIONS)]).alias(c)
+        return of.groupBy("label", "dim", node.alias("node")).agg(edge(F.min, "lo"), edge(F.max, "hi"))
+
+    def near(pairs: DataFrame, nodes: DataFrame, parent: Column) -> DataFrame:
+        """(label, dim, up, p, q): the pairs of parts of pairs (label, dim, p, q) that are not provably distant."""
+        side = lambda k, up: nodes.select("label", "dim", parent.alias(up), F.col("node").alias(k), F.col("lo").alias(f"lo_{k}"), F.col("hi").alias(f"hi_{k}"))
+        both = pairs.select("label", "dim", F.col("p").alias("up_p"), F.col("q").alias("up_q")).join(side("p", "up_p"), ["label", "dim", "up_p"]).join(side("q", "up_q"), ["label", "dim", "up_q"])
+        gap = F.transform(F.arrays_zip("lo_p", "hi_p", "lo_q", "hi_q"), lambda x: F.greatest(F.lit(0.0), x["lo_p"] - x["hi_q"], x["lo_q"] - x["hi_p"]))
+        return both.where((F.col("p") <= F.col("q")) & (F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x) <= reach)).select("label", "dim", "up_p", "up_q", "p", "q")
+
+    levels = [stash(boxes(intervals, F.shiftright("interval", 32)), "boxes")]
+    bits = BRANCH.bit_length() - 1
+    while levels[-1].agg(F.max("node")).first()[0]:
+        levels.append(stash(boxes(levels[-1], F.shiftright("node", bits)), "boxes"))
+    pairs = levels.pop().select("label", "dim", F.col("node").alias("p"), F.col("node").alias("q"))
+    for nodes in reversed(levels):
+        pairs = stash(near(pairs, nodes, F.shiftright("node", bits)), "pairs")
+    met = near(pairs, intervals.withColumnRenamed("interval", "node"), F.shiftright("node", 32))
+    tile = ["label", "dim", "up_p", "up_q"]
+    ends = F.explode(F.array(F.struct(F.col("p").alias("interval"), F.col("q").alias("other")), F.struct(F.col("q").alias("interval"), F.lit(None).cast("long").alias("other"))))
+    needs = met.select(*tile, ends.alias("e")).groupBy(*tile, "e.interval").agg(F.collect_list("e.other").alias("others"))
+    dealt = needs.join(intervals.select("interval", "x", "n"), "interval")
+
+    def compare(t: pa.Table) -> pa.Table:
+        """Link counts by node, and a spanning forest, of the pairs of intervals of a tile."""
+        dim = t["dim"][0].as_py()
+        order = np.argsort(t["interval"].to_numpy())
+        starts, blocks, weights = [], [], []
+        for k in order.tolist():
+            x = unit(np.frombuffer(t["x"][k].as_py(), np.float64).reshape(-1, dim))
+            starts.append(t["interval"][k].as_py())
+            blocks.append((x, projected(x, axes.value)))
+            weights.append(np.frombuffer(t["n"][k].as_py(), np.int64))
+        at = {i: k for k, i in enumerate(starts)}
+        first = np.cumsum([0, *(len(w) for w in weights)])
+        weight, counts = np.concatenate(weights), np.zeros(first[-1], np.int64)
+        links: list[tuple[int, int]] = []
+        for k in order.tolist():
+            for j in t["others"][k].as_py():
+                i = t["interval"][k].as_py()
+                (x, px), (y, py) = blocks[at[i]], blocks[at[j]]
+                a, c = Pair(x, y, px, py, cosine, i == j).links()
+                a, c = a + first[at[i]], c + first[at[j]]
+                counts += np.bincount(a, weight[c], len(counts)).astype(np.int64) + np.bincount(c, weight[a], len(counts)).astype(np.int64)
+                links += forest(len(counts), a, c)
+        nodes = np.concatenate([i + np.arange(len(w)) for i, w in zip(starts, weights, strict=True)])
+        some = np.nonzero(counts)[0]
+        tree = np.array(forest(len(counts), *np.array(links, np.int64).reshape(-1, 2).T), np.int64).reshape(-1, 2)
+        return pa.table({
+            "a": np.concatenate([nodes[some], nodes[tree[:, 0]]]),
+            "n": pa.array([*counts[some].tolist(), *[None] * len(tree)], pa.int64()),
+            "b": pa.array([*[None] * len(some), *nodes[tree[:, 1]].tolist()], pa.int64()),
+        })
+
+    found = stash(dealt.groupBy(*tile).applyInArrow(compare, "a long, n long, b long"), "links")
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     roots = connected_components(found.where("b is not null").select("a", "b"))
     members = intervals.select("interval", "label", F.posexplode(F.arrays_zip("h1", "h2", "least")).alias("pos", "m"))
