@@ -17,10 +17,11 @@ so that all depths are mixed by how well they code the training corpus.
    decision, grouped up and joined down depth by depth.  No process holds all.
 3. Buckets of cells meet the predictions of their contexts and send the log
    probability of each gram back to its block, which scores its texts with them.
-4. Word counts go to buckets of word hashes, packed by block of documents,
-   together with the documents that hold them, so a bucket adds up its words
-   over the corpus and sends back each document's share of the unigram base
-   score.
+   A bucket that many blocks ask is dealt to several tasks, each with its predictions.
+4. Each block's distinct words go to buckets of word hashes with their counts in
+   training documents.  A bucket adds up its words over the corpus and sends the sums
+   back to the blocks, which work out the unigram base scores.  No document
+   travels with its words, so a word that all documents hold is one number a block.
 """
 
 from __future__ import annotations
@@ -49,6 +50,8 @@ EDGE = 0xFF
 CHUNK, BLOCK = 1 << 20, 8 << 20
 #: Bytes of text for each bucket of words, and of contexts.
 BUCKET_BYTES = 16 << 20
+#: Bytes of cells of one bucket that one task answers, about.
+ASKED_BYTES = 64 << 20
 #: Contexts are dealt to buckets by their last bytes, as many as TOP, and those by the rest by this prime.
 TOP, SPREAD = 3, 1_000_003
 #: The word that ends a document; no word holds a line end.
@@ -368,6 +371,8 @@ def gram_scores(cells: DataFrame, depth: int, buckets: int) -> DataFrame:
     model = counts.unionByName(from_above(rows, top).select(bucket(F.shiftright("k", 8)), "k", "so_far", "left"), allowMissingColumns=True)
 
     def run(model: pa.Table, asked: pa.Table) -> pa.Table:
+        if not asked.num_rows:  # a part that no block was dealt to
+            return pa.table({"block": pa.array([], pa.string()), "grams": pa.array([], pa.binary()), "scores": pa.array([], pa.binary())})
         learned, above = model.filter(pc.is_valid(model["gram"])), model.filter(pc.is_valid(model["k"])).sort_by("k")
         levels = subtree(learned["gram"].to_numpy(), learned["n"].to_numpy(), depth, top)
         one, left = above["so_far"].to_numpy(), above["left"].to_numpy()
@@ -384,67 +389,56 @@ def gram_scores(cells: DataFrame, depth: int, buckets: int) -> DataFrame:
         logs = logs.astype(np.float32)
         return pa.table({"block": asked["block"], "grams": asked["grams"], "scores": pa.array([logs[np.searchsorted(known, g)].tobytes() for g in grams], pa.binary())})
 
-    return model.groupBy("bucket").cogroup(cells.select("bucket", "block", "grams").groupBy("bucket")).applyInArrow(run, "block string, grams binary, scores binary")
+    parts = cells.groupBy("bucket").agg((1 + F.floor(F.sum(F.octet_length("grams")) / ASKED_BYTES)).cast("int").alias("parts"))
+    asked = cells.select("bucket", "block", "grams").join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts").cast("long"))).drop("parts")
+    model = model.join(parts, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).drop("parts")
+    return model.groupBy("bucket", "part").cogroup(asked.groupBy("bucket", "part")).applyInArrow(run, "block string, grams binary, scores binary")
+
+
+def words_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all distinct words, ascending; the place of each word of the texts among them; how many each text has."""
+    terms: dict[bytes, int] = {}
+    stream = []
+    for raw in raws:
+        words = raw.split()
+        words.append(END)
+        stream.append(np.fromiter((terms.setdefault(w, len(terms)) for w in words), np.int64, len(words)))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64, len(terms))
+    by = np.argsort(hashes)
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    return hashes[by], place[np.concatenate(stream)], np.array([len(x) for x in stream], np.int64)
 
 
 def word_cells(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Each block's words by bucket, packed, with the places of the documents that hold them."""
-    fields = ["terms", "counts", "holders", "doc", "times"]
+    """(bucket, block, terms, counts): each block's distinct words by bucket, and how often its training texts have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, pos, held, raws in block_runs(batches):
-            terms: dict[bytes, int] = {}
-            stream: list[np.ndarray] = []
-            for raw in raws:
-                words = raw.split()
-                words.append(END)
-                stream.append(np.fromiter((terms.setdefault(w, len(terms)) for w in words), np.int64, len(words)))
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64, len(terms))
-            by = np.argsort(hashes)
-            place = np.empty(len(by), np.int64)
-            place[by] = np.arange(len(by))
-            n_docs = len(raws)
-            pairs, times = np.unique(place[np.concatenate(stream)] * n_docs + np.repeat(np.arange(n_docs), [len(x) for x in stream]), return_counts=True)
-            term, doc = pairs // n_docs, pairs % n_docs
-            count = np.bincount(term, np.where(np.array(held)[doc], 0, times), len(by)).astype(np.uint32)
-            hashes, doc = hashes[by], np.array(pos)[doc]
+        for block, _, held, raws in block_runs(batches):
+            hashes, words, sizes = words_of(raws)
+            count = np.bincount(words, np.repeat(~np.array(held, bool), sizes), len(hashes)).astype(np.uint32)
             found, edges = np.unique(((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), return_index=True)
-            edges = np.append(edges, len(hashes))
-            ranges = np.searchsorted(term, edges)
-            holders = np.bincount(term, minlength=len(by)).astype(np.uint32)
-            for k, bucket in enumerate(found.tolist()):
-                t, p = slice(edges[k], edges[k + 1]), slice(ranges[k], ranges[k + 1])
-                packed = [hashes[t], count[t], holders[t], doc[p].astype(np.uint32), times[p].astype(np.uint32)]
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block]), *[pa.array([x.tobytes()], pa.binary()) for x in packed]], names=["bucket", "block", *fields])
+            cells = [[x.tobytes() for x in np.split(c, edges[1:])] for c in (hashes, count)]
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array([block] * len(found)), *(pa.array(c, pa.binary()) for c in cells)], names=["bucket", "block", "terms", "counts"])
 
-    return blocks.mapInArrow(run, "bucket int, block string, " + ", ".join(f"{f} binary" for f in fields))
+    return blocks.mapInArrow(run, "bucket int, block string, terms binary, counts binary")
 
 
-def shares(cells: DataFrame) -> DataFrame:
-    """For each block and bucket: its documents' tokens, known tokens and sums of log10(count + 1), and the bucket's totals."""
+def word_totals(cells: DataFrame) -> DataFrame:
+    """(block, terms, totals, tokens, types): the corpus counts of a block's words; a bucket's sums stand in one of its rows."""
 
     def run(t: pa.Table) -> pa.Table:
-        words = t.to_pylist()
-        cell = lambda c, d: [np.frombuffer(w[c], d) for w in words]
-        terms, counts = cell("terms", np.uint64), cell("counts", np.uint32)
+        terms, counts = ([np.frombuffer(c.as_py(), d) for c in t[name]] for name, d in (("terms", np.uint64), ("counts", np.uint32)))
         known, at = np.unique(np.concatenate(terms), return_inverse=True)
-        total = np.bincount(at, np.concatenate(counts), len(known))
-        per_row = np.split(total[at], np.cumsum([len(x) for x in terms])[:-1])
-        out = {"doc": [], "every": [], "known": [], "logs": []}
-        for c, holders, doc, times in zip(per_row, cell("holders", np.uint32), cell("doc", np.uint32), cell("times", np.uint32), strict=True):
-            own, place = np.unique(doc, return_inverse=True)
-            out["doc"].append(own.tobytes())
-            out["every"].append(np.bincount(place, times).astype(np.int64).tobytes())
-            out["known"].append(np.bincount(place, np.repeat(c > 0, holders) * times).astype(np.int64).tobytes())
-            out["logs"].append(np.bincount(place, np.repeat(np.log10(c + 1), holders) * times).tobytes())
-        n = len(words)
-        sums = ([int(total.sum())] + [0] * (n - 1), [int((total > 0).sum())] + [0] * (n - 1))  # once for the bucket
-        return pa.table({"block": pa.array([w["block"] for w in words]), **{c: pa.array(x, pa.binary()) for c, x in out.items()}, "tokens": pa.array(sums[0], pa.int64()), "types": pa.array(sums[1], pa.int64())})
-
-    return cells.groupBy("bucket").applyInArrow(run, "block string, doc binary, every binary, known binary, logs binary, tokens long, types long")
-
-
-def score_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, contexts: int | None = None, folds: int = 7, fold: int = 2) -> DataFrame:
+        total = np.bincount(at, np.concatenate(counts), len(known)).astype(np.int64)
+        each = np.split(total[at], np.cumsum([len(x) for x in terms])[:-1])
+        sums = ([x] + [0] * (t.num_rows - 1) for x in (int(total.sum()), int((total > 0).sum())))
+        return pa.table({"block": t["block"], "terms": t["terms"], "totals": pa.array([x.tobytes() for x in each], pa.binary()), **{n: pa.array(x, pa.int64()) for n, x in zip(("tokens", "types"), sums, strict=True)}})
+
+    return cells.groupBy("bucket").applyInArrow(run, "block string, terms binary, totals binary, tokens long, types long")
+
+
+def score_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, folds: int = 7, fold: int = 2) -> DataFrame:
     """Scores of whole texts under the tree, and under add-one word counts, of the training fold.
 
     Rows whose crc32 of the id as text leaves ``fold`` by ``folds`` are held
@@ -455,8 +449,6 @@ def score_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     ``-log10(2)`` and by the bytes for bits per byte).
 
     The tree has every context of up to ``depth`` bytes (at most 5).
-    ``contexts`` bounded it once; it is taken from earlier callers and has no
-    effect.
 
     A null text counts as empty: an end alone.  Repeated rows are learned from
     each.  With no training row every symbol has even odds.  An empty table
@@ -468,27 +460,33 @@ def score_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     buckets = 1 + (blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
     cells = stash(gram_cells(blocks, depth, buckets), "cells")
     scored = gram_scores(cells, depth, buckets)
-    found = stash(shares(word_cells(blocks, buckets)), "shares")
+    found = stash(word_totals(word_cells(blocks, buckets)), "word_totals")
     tokens, types = found.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     scale = math.log10(tokens + types + 1)
 
     def run(home: pa.Table, parts: pa.Table) -> pa.Table:
         home = home.sort_by("pos")
         n = home.num_rows
-        words = parts.filter(pc.is_valid(parts["doc"]))
-        doc, every, known, logs = (np.concatenate([np.frombuffer(r.as_py(), d) for r in words[c]]) for c, d in (("doc", np.uint32), ("every", np.int64), ("known", np.int64), ("logs", np.float64)))
-        order = np.lexsort((logs, doc))  # the same sum whatever the rows' order
-        every, known, logs = np.bincount(doc, every).astype(np.int64), np.bincount(doc, known).astype(np.int64), np.bincount(doc[order], logs[order])
+        counted = parts.filter(pc.is_valid(parts["terms"]))
+        terms, totals = (np.concatenate([np.frombuffer(r.as_py(), d) for r in counted[c]]) for c, d in (("terms", np.uint64), ("totals", np.int64)))
+        order = np.argsort(terms)
+        terms, totals = terms[order], totals[order]
         asked = parts.filter(pc.is_valid(parts["grams"]))
         grams = np.concatenate([unpacked(r.as_py()) for r in asked["grams"]])
         each = np.concatenate([np.frombuffer(r.as_py(), np.float32) for r in asked["scores"]]).astype(np.float64)
         order = np.argsort(grams)
         grams, each = grams[order], each[order]
-        score: list[np.ndarray] = []
+        out: tuple[list[np.ndarray], ...] = ([], [], [], [])
         for raws in in_chunks((r for t in home["texts"].drop_null() for r in pickle.loads(zlib.decompress(t.as_py()))), CHUNK):
             key, sizes = grams_of(raws, depth)
-            score.append(np.add.reduceat(each[np.searchsorted(grams, key)], np.cumsum(sizes) - sizes))
-        return pa.table({"id": home["id"], "held_out": home["held"], "n_tokens": every, "n_known": known, "train_tokens": np.full(n, tokens), "base_score": logs - every * scale, "score": np.concatenate(score)})
+            out[0].append(np.add.reduceat(each[np.searchsorted(grams, key)], np.cumsum(sizes) - sizes))
+            own, words, sizes = words_of(raws)
+            c = totals[np.searchsorted(terms, own)]
+            first = np.cumsum(sizes) - sizes
+            for column, x in zip(out[1:], (sizes, np.add.reduceat((c > 0)[words].astype(np.int64), first), np.add.reduceat(np.log10(c + 1)[words], first)), strict=True):
+                column.append(x)
+        score, every, known, logs = (np.concatenate(x) for x in out)
+        return pa.table({"id": home["id"], "held_out": home["held"], "n_tokens": every, "n_known": known, "train_tokens": np.full(n, tokens), "base_score": logs - every * scale, "score": score})
 
     parts = found.drop("tokens", "types").unionByName(scored, allowMissingColumns=True)
     out = with_packed_texts(blocks, kind).groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
