@@ -51,16 +51,18 @@ def fingerprints_of(texts: list[str | None], shingle: int = 3, seed: int = 42) -
     return out
 
 
-def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp) for every row; fp is the fingerprint as a signed long."""
+def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3, seed: int = 42, by_text: bool = False) -> DataFrame:
+    """(id, fp[, text_hash]) for every row; fp is the fingerprint as a signed long."""
+    text = F.col(f"`{text_col}`")
+    kept = docs.select(text.alias("text"), F.col(f"`{id_col}`").alias("id"), *([F.xxhash64(text).alias("text_hash")] if by_text else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = fingerprints_of(b.column(1).to_pylist(), shingle, seed).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["id", "fp"])
+            fp = fingerprints_of(b.column(0).to_pylist(), shingle, seed).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fp)], names=[*b.schema.names[1:], "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return kept.mapInArrow(run, f"id {kind}, " + ("text_hash long, " if by_text else "") + "fp long")
 
 
 def choices(blocks: int, differing: int) -> list[int]:
@@ -115,16 +117,18 @@ def links(nodes: DataFrame, differing: int, masks: list[int], bucket: int | None
     return couples.unionByName(many).distinct(), crowded
 
 
-def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", differing: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
+def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", differing: int = 3, shingle: int = 3, seed: int = 42, by_text: bool = False) -> DataFrame:
     """One row per document: its id, ``fingerprint`` (16 hex digits) and ``component_id``.
 
     ``component_id`` is the smallest id of the group that links of at most
     ``differing`` bits reach.  A text without words (null, empty, white space)
     has fingerprint zero and is linked like any other.  Null ids are never the
     smallest, unless a group has no other.  Repeated rows come back repeated.
-    An empty table gives an empty result.  Other columns are not read.
+    An empty table gives an empty result.  Other columns are not read.  With
+    ``by_text`` there is also ``text_hash``, xxhash64 of the text, which tells
+    apart rows that share an id.
     """
-    fps = stash(with_fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    fps = stash(with_fingerprints(docs, id_col, text_col, shingle, seed, by_text), "fingerprints")
     nodes = stash(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     masks = choices(blocks_for(nodes.count(), differing), differing)
     found, crowded = links(nodes.select("fp"), differing, masks, BUCKET)
@@ -136,4 +140,4 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     named = labelled.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *(["text_hash"] if by_text else []))
