@@ -30,9 +30,12 @@ def brute_links(rows, t):
     return Counter((i, sum(near[k]), least.get(root[k], None), i == least.get(root[k])) for k, (i, _, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("t", "interval", "leaf"), [(0.98, 512, 64), (0.98, 16, 4), (0.9, 8, 4)])
+@pytest.mark.parametrize(("t", "interval", "leaf"), [(0.98, 512, 64), (0.98, 8, 4), (0.9, 4, 2)])
 def test_near_vectors(spark, monkeypatch, t, interval, leaf):
     monkeypatch.setattr(epsilon_grid, "INTERVAL", interval)
+    if interval < 512:  # many partitions, so that the recursion has levels
+        monkeypatch.setattr(epsilon_grid, "PARTITION", 2)
+        monkeypatch.setattr(epsilon_grid, "BRANCH", 2)
     monkeypatch.setattr(epsilon_grid, "LEAF", leaf)
     rng = np.random.default_rng(int(t * 100))
     rows, i = [], 0
@@ -107,3 +110,93 @@ def test_repeats_of_a_host_are_removed(spark):
         for r in got:
             assert (r.text, r.n_chars) == (want[r.page_id], len(want[r.page_id])), r.page_id
     assert host_text.extract_text(df.limit(0)).collect() == []
+
+
+def host_of(url):
+    return (url or "").split("//", 1)[-1].split("/")[0].lower() if "//" in (url or "") else ""
+
+
+def brute_text(rows, run=host_text.RUN, repeats=host_text.PAGES):
+    """What is left of every page, by dictionaries of all runs of words of a host."""
+    streams = {}
+    for _, url, html in rows:
+        streams[(host_of(url), url, html)] = [w for t, k in host_text.blocks_of(html) if k != host_text.ARTICLE for w in t.split()]
+    on = {}
+    for (host, url, html), words in streams.items():
+        for k in range(len(words) - run + 1):
+            on.setdefault((host, tuple(words[k : k + run])), set()).add((url, html))
+    out = []
+    for i, url, html in rows:
+        host, blocks = host_of(url), host_text.blocks_of(html)
+        words = streams[(host, url, html)]
+        gone = [False] * len(words)
+        for k in range(len(words) - run + 1):
+            if len(on[(host, tuple(words[k : k + run]))]) >= repeats:
+                gone[k : k + run] = [True] * run
+        article = any(k in (host_text.ARTICLE, host_text.DOUBT) for _, k in blocks)
+        kept, at = [], 0
+        for t, k in blocks:
+            if k == host_text.ARTICLE:
+                kept.append(t)
+                continue
+            own = [(w, g) for w, g in zip(t.split(), gone[at:], strict=False)]
+            at += len(own)
+            if k == (host_text.DOUBT if article else host_text.NEITHER) and any(not g for _, g in own):
+                kept.append(" ".join(w for w, g in own if not g))
+        out.append((i, url, "\n\n".join(kept)))
+    return Counter(out)
+
+
+def made_pages(seed=4, n=60):
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(12)]
+    pool = [" ".join(rng.choice(words) for _ in range(rng.randrange(2, 14))) for _ in range(10)]
+    rows = []
+    for k in range(n):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            text = rng.choice(pool) if rng.random() < 0.6 else " ".join(rng.choice(words) for _ in range(rng.randrange(1, 20)))
+            tag = rng.choice(["p", "div", 'p class="notice"', 'div class="header-image"', "p id=share", "section", 'div class="ad"', "nav", "footer"])
+            parts.append(f"<{tag}>{text}</{tag.split()[0]}>")
+        body = "".join(parts)
+        shape = rng.choice(["<body>{}</body>", "<body><div>Welcome to the site of many things</div><article>{}</article></body>", "<main>{}</main>"])
+        rows.append((k, f"https://{rng.choice(['hot', 'hot', 'cold', 'Warm'])}.example/{k}", shape.format(body)))
+    return rows + [(n, None, None), (n + 1, "http://hot.example/x", ""), rows[0], rows[0], (n + 2, "x", "w1 " * 30_000)]
+
+
+@pytest.mark.parametrize("bucket", [256, 4])
+def test_pages_by_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(host_text, "BUCKET", bucket)
+    rows = made_pages()
+    df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, host int")
+    got = Counter((r.page_id, r.url, r.text) for r in host_text.extract_text(df).collect())
+    assert got == brute_text(rows)
+
+
+def test_repeats_decide_doubtful_blocks_of_articles(spark):
+    """Without the suffix step, pages with an article come out otherwise."""
+    notice = "please read this notice that stands on each page of the host"
+    rows = [(k, f"https://a.example/{k}", f'<article><p class="notice">{notice}</p><p class="notice">own{k} notice{k} of{k} the{k} article{k}</p><p>text {k}</p></article>') for k in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in host_text.extract_text(df).collect()}
+    assert all(t == f"own{k} notice{k} of{k} the{k} article{k}\n\ntext {k}" for k, t in texts.items())
+    off = {r.page_id: r.text for r in host_text.extract_text(df, repeats=1 << 40).collect()}
+    assert all(t.startswith(notice) for t in off.values())
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<article><p data-x=don't>text</p>", "text"), ('<article><p title="x>text</p><p>y</p>', "text\n\ny"), ("<article><p class=a href=/b/>t</p><p", "t"),
+    ('<article><header><h1>Head</h1></header><p>t</p></article><header>site</header>', "Head\n\nt"), ("<article><img alt='a>b' src=x>t</article>", "t"),
+])
+def test_broken_tags(page, want):
+    assert text_of(page) == want
+
+
+def test_token_suffix_ranks():
+    rng = np.random.default_rng(1)
+    tokens = rng.integers(0, 3, 200)
+    for depth in (1, 2, 5, 6, 7):
+        rank = host_text.suffix_ranks(tokens, depth)
+        shown = [tuple(tokens[k : k + depth].tolist()) for k in range(200)]
+        order = sorted(set(shown))
+        assert rank.tolist() == [order.index(x) + 1 for x in shown]
