@@ -2,17 +2,24 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what the next one gets as
 its documents: rows that it drops are gone, texts that it changes are changed.
-The last one returns the packed pieces.
+``run`` writes what a stage returns to the shared folder as Parquet and rereads
+it, so no stage is worked out twice.  The last one returns the packed pieces.
+
+All stages take nulls in any column, texts of any length, rows that repeat,
+empty tables, and extra columns of any name, which they keep (``_held_out``,
+``_score``, ``_predicted``, ``_n_lines`` and ``_n_dropped`` with values of the stage).
+A document is a row; rows that share an id and have different texts are judged
+each by its own text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import table
+from cadenza.llm.common import stash, table
 from cadenza.llm.decontam import decontaminate
 from cadenza.llm.line_dedup import dedup_lines
 from cadenza.llm.packing import pack_documents
@@ -21,29 +28,42 @@ from cadenza.llm.queries import tokenizer_path
 from cadenza.llm.simhash import simhash_groups
 
 
+def row_key(id_: Column, text_hash: Column) -> Column:
+    return F.struct(id_.alias("id"), text_hash.alias("text_hash"))
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(key, row): the columns of documents as one, beside what tells a row apart."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"), row)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     scored = score_quality(docs, table(spark, sf_dir, "labels"))
-    return scored.where("_predicted = 1").select(*docs.columns)
+    return scored.where("_predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that many of them share."""
     out = dedup_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near duplicates."""
-    kept = simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """One document, the one with the smallest id, of each group of near duplicates; rows that repeat it stay with it."""
+    groups = simhash_groups(docs, by_text=True).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = groups.select(row_key(F.col("doc_id"), F.col("text_hash")).alias("key")).distinct()
+    return rows_of(docs).join(kept, "key", "left_semi").select("row.*")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    rows = rows_of(docs)
+    found = decontaminate(rows.select("key", "row.text"), table(spark, sf_dir, "benchmark"), id_col="key")
+    return rows.join(found.where("n_hit > 0").select("key").distinct(), "key", "left_anti").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +86,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), f"stage_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
