@@ -2,13 +2,15 @@
 
 Signals are long: (stream, idx, x) or, for a pair, (stream, idx, ref, dec).
 All measures are sums over rows, so partial aggregation does most of the work
-before a shuffle; lags and bins are small tables that are broadcast.
+before a shuffle; lags are summed up by block, and bins are small tables that are broadcast.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,27 +40,63 @@ def residual_ratio(pairs: DataFrame, *keys: str) -> DataFrame:
     return out.select(*keys, F.when(F.col("r") > 0, F.col("e") / F.col("r")).alias("ratio"))
 
 
+#: Samples of a block in the search for a delay, at least; a block is at least as long as the range of lags.
+BLOCK = 4096
+
+
+def lag_errors(ref: DataFrame, dec: DataFrame, lags: range) -> DataFrame:
+    """(stream, d, s, n): the sum of squared differences at each lag, and how many pairs have it.
+
+    A signal is cut into blocks, and the other goes to the two or three that
+    its samples can meet; a block sums up all lags and sends one row for each.
+    """
+    least, most = lags[0], lags[-1]
+    size = max(BLOCK, most - least)
+    # New names for the columns: both signals may come from one table.
+    own = ref.where("x is not null").select(F.col("stream").alias("stream"), F.col("idx").alias("idx"), F.col("x").cast("double").alias("x"), F.floor(F.col("idx") / size).alias("block"))
+    reach = F.sequence(F.floor((F.col("idx") - most) / size), F.floor((F.col("idx") - least) / size))
+    other = dec.where("x is not null").select(F.col("stream").alias("stream"), F.col("idx").alias("idx"), F.col("x").cast("double").alias("x"), F.explode(reach).alias("block"))
+    kind = ref.schema["stream"].dataType.simpleString()
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"stream": a["stream"][:0], "d": pa.array([], pa.int32()), "s": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
+        start = a["block"][0].as_py() * size
+        x, y = np.zeros(size), np.zeros(size + most - least)
+        here, there = np.zeros(size, bool), np.zeros(len(y), bool)
+        for t, values, known, first in ((a, x, here, start), (b, y, there, start + least)):
+            at = t["idx"].to_numpy() - first
+            ok = (at >= 0) & (at < len(values))
+            values[at[ok]], known[at[ok]] = t["x"].to_numpy()[ok], True
+        sums, counts = [], []
+        for d in lags:
+            part = slice(d - least, d - least + size)
+            both = here & there[part]
+            off = x[both] - y[part][both]
+            sums.append(float(off @ off))
+            counts.append(int(both.sum()))
+        return pa.table({"stream": pa.concat_arrays([a["stream"].combine_chunks()[:1]] * len(lags)), "d": pa.array(list(lags), pa.int32()), "s": pa.array(sums), "n": pa.array(counts, pa.int64())})
+
+    blocks = own.groupBy("stream", "block").cogroup(other.groupBy("stream", "block")).applyInArrow(run, f"stream {kind}, d int, s double, n long")
+    return blocks.groupBy("stream", "d").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0")
+
+
 def best_delay(ref: DataFrame, dec: DataFrame, most: int, least: int = 0, step: int = 1) -> DataFrame:
     """(stream, delay, mse): the lag of least mean squared difference; the lowest on ties.
 
-    Each sample meets each lag once, by index; a signal is never paired with itself whole.
+    A signal has a sample at most once at each index, and may have gaps; samples pair where both are.
     """
-    lags = F.explode(F.sequence(F.lit(least), F.lit(most), F.lit(step)))
-    moved = ref.select("stream", F.col("x").alias("ref"), "idx", lags.alias("d")).select("stream", "ref", "d", (F.col("idx") + F.col("d")).alias("idx"))
-    by_lag = moved.join(dec.select("stream", "idx", F.col("x").alias("dec")), ["stream", "idx"]).groupBy("stream", "d").agg(F.avg((F.col("ref") - F.col("dec")) ** 2).alias("mse"))
-    best = F.min(F.struct("mse", "d"))
-    return by_lag.groupBy("stream").agg(best.alias("b")).select("stream", F.col("b.d").alias("delay"), F.col("b.mse").alias("mse"))
+    best = F.min(F.struct((F.col("s") / F.col("n")).alias("mse"), "d"))
+    return lag_errors(ref, dec, range(least, most + 1, step)).groupBy("stream").agg(best.alias("b")).select("stream", F.col("b.d").alias("delay"), F.col("b.mse").alias("mse"))
 
 
 def best_delay_coarse(ref: DataFrame, dec: DataFrame, most: int) -> DataFrame:
     """The same over -most to most in two passes: coarse steps, then one by one around the best."""
     step = max(1, min(32, most // 256))
     rough = best_delay(ref, dec, most, -most, step).select("stream", F.col("delay").alias("near"))
-    moved = ref.join(rough, "stream")
-    lags = F.explode(F.sequence(F.col("near") - step, F.col("near") + step))
-    shifted = moved.select("stream", F.col("x").alias("ref"), "idx", lags.alias("d")).select("stream", "ref", "d", (F.col("idx") + F.col("d")).alias("idx"))
-    by_lag = shifted.join(dec.select("stream", "idx", F.col("x").alias("dec")), ["stream", "idx"]).groupBy("stream", "d").agg(F.avg((F.col("ref") - F.col("dec")) ** 2).alias("mse"))
-    return by_lag.groupBy("stream").agg(F.min(F.struct("mse", "d")).alias("b")).select("stream", F.col("b.d").alias("delay"), F.col("b.mse").alias("mse"))
+    moved = ref.join(rough, "stream").select("stream", (F.col("idx") + F.col("near")).alias("idx"), "x")
+    fine = best_delay(moved, dec, step, -step)
+    return fine.join(rough, "stream").select("stream", (F.col("near") + F.col("delay")).alias("delay"), "mse")
 
 
 def hops(rows: DataFrame, size: int, hop: int, total: str = "total") -> DataFrame:

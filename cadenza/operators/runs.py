@@ -1,15 +1,18 @@
-"""Deltas, bit widths, runs of codes and silent runs of packets, by windows.
+"""Deltas, bit widths, runs of codes and silent runs of packets.
 
-All window expressions of a packet share one partitioning and one order, so a
-packet is shuffled and sorted once.  A position's run follows from the nearest
-positions before and after it that break the run.
+Deltas and widths are array expressions.  Runs are worked out packet by packet
+in workers, in time that grows with the packet alone: a position's run follows
+from the nearest positions before and after it that break the run.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.bits import significant_bits, wrap
@@ -60,47 +63,90 @@ def deltas(packets: DataFrame, coding: Coding = VBR8, values: str = "q") -> Data
     return out.select(*kept, "n", "i", F.col("pair.d").alias("delta"), F.col("pair.next").alias("next")).withColumn("width", significant_bits(F.col("delta"), coding.bits))
 
 
-def codes(rows: DataFrame, keys: list[str], coding: Coding = VBR8) -> DataFrame:
-    """Adds ``code`` (of the narrowest run that pays off) and the silent marks of each delta.
+def breaks(ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest break at or before, and at or after, every position."""
+    at = np.arange(n)
+    before = np.maximum.accumulate(np.where(ends, at, -1))
+    after = np.minimum.accumulate(np.where(ends, at, n)[::-1])[::-1]
+    return before, after
 
-    ``silent`` is the code that starts at this delta (1 for 16 samples, 0 for
-    4) or null; ``covered`` says that a silent code covers it.
-    """
-    order = Window.partitionBy(*keys).orderBy("i")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    i, n = F.col("i"), F.col("n")
 
-    def around(breaks: Column) -> tuple[Column, Column]:
-        at = F.when(breaks, i)
-        return F.coalesce(F.max(at).over(back), F.lit(-1)), F.coalesce(F.min(at).over(ahead), n)
+def marks(width: np.ndarray, quiet: np.ndarray, coding: Coding) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, silent, covered) of a packet's deltas, in one pass over each width.
 
-    code = F.lit(coding.top)
-    columns = {}
+    ``code`` is that of the narrowest run that pays off.  ``silent`` is the
+    code that starts at this delta (1 for 16 samples, 0 for 4) or -1;
+    ``covered`` says that a silent code covers it.
+    """
+    n = len(width)
+    code = np.full(n, coding.top)
     for c in range(coding.top, 2, -1):
-        a, b = around(F.col("width") > c)
-        columns |= {f"_a{c}": a, f"_b{c}": b}
-        code = F.when((F.col("width") <= c) & (F.col(f"_b{c}") - F.col(f"_a{c}") - 1 > coding.least[c - 1]), F.lit(c - 1)).otherwise(code)
-    a, b = around(F.col("next") != 0)
-    rows = rows.withColumns(columns | {"_a": a, "_b": b})
-    long, short = coding.least[1], coding.least[0]
-    quiet, start, size = F.col("next") == 0, F.col("_a") + 1, F.col("_b") - F.col("_a") - 1
-    tail = F.col("_b") == n
-    place = i - start
-    longs = F.when(tail, size + F.pmod(-size, F.lit(long))).otherwise(size - size % long)  # samples that long codes stand for
+        a, b = breaks(width > c, n)
+        code[(width <= c) & (b - a - 1 > coding.least[c - 1])] = c - 1
+    short, long = coding.least[:2]
+    a, b = breaks(~quiet, n)
+    size, place = b - a - 1, np.arange(n) - a - 1
+    longs = np.where(b == n, size + -size % long, size - size % long)  # samples that long codes stand for
     in_long = quiet & (place < longs)
     rest = size - longs
     in_short = quiet & ~in_long & (place - longs < rest - rest % short)
-    silent = F.when(in_long & (place % long == 0), F.lit(1)).when(in_short & ((place - longs) % short == 0), F.lit(0))
-    return rows.withColumn("code", code).withColumn("silent", silent).withColumn("covered", in_long | in_short).drop(*columns, "_a", "_b")
+    silent = np.where(in_long & (place % long == 0), 1, np.where(in_short & ((place - longs) % short == 0), 0, -1))
+    return code, silent, in_long | in_short
+
+
+def lists_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, d): each packet's deltas in order, as structs of delta, width and next."""
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "delta", "width", "next"))).alias("d"))
+
+
+def packet_arrays(b: pa.RecordBatch, k: int) -> dict[str, np.ndarray]:
+    d = b.column("d")[k].values
+    return {c: d.field(c).to_numpy(zero_copy_only=False) for c in ("i", "delta", "width", "next")}
+
+
+def codes(rows: DataFrame, keys: list[str], coding: Coding = VBR8) -> DataFrame:
+    """(keys, i, delta, width, code, silent, covered) of deltas; ``silent`` is null where no silent code starts.
+
+    A packet's deltas are few (255 at most), so they are brought together once
+    and worked out in one pass in a worker.
+    """
+    lists = lists_of(rows, keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for k in range(b.num_rows):
+                x = packet_arrays(b, k)
+                found = (x["i"], x["delta"], x["width"], *marks(x["width"], x["next"] == 0, coding))
+                for column, values in zip(out, found, strict=True):
+                    column.append(values)
+            sizes = [len(c) for c in out[0]]
+            pick = pa.array(np.repeat(np.arange(b.num_rows), sizes))
+            i, delta, width, code, silent, covered = (np.concatenate(c) if c else np.empty(0, int) for c in out)
+            cells = [pa.array(x.astype(np.int32)) for x in (i, delta, width, code)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pick) for c in keys), *cells, pa.array(silent.astype(np.int32), mask=silent < 0), pa.array(covered.astype(bool))], names=[*keys, "i", "delta", "width", "code", "silent", "covered"])
+
+    kinds = ", ".join(f"{c} {lists.schema[c].dataType.simpleString()}" for c in keys)
+    return lists.mapInArrow(run, f"{kinds}, i int, delta int, width int, code int, silent int, covered boolean")
 
 
 def bit_costs(rows: DataFrame, keys: list[str], coding: Coding = VBR8) -> DataFrame:
-    """(keys, silent_codes, delta_runs, deltas_coded, bits, bytes) of each packet as coded."""
-    order = Window.partitionBy(*keys).orderBy("i")
-    open_ = ~F.col("covered")
-    before = F.lag(F.when(open_, F.col("code"))).over(order)
-    after = F.lead(F.when(open_, F.col("code"))).over(order)
-    marked = rows.withColumn("_first", open_ & (before.isNull() | (before != F.col("code")))).withColumn("_last", open_ & (F.col("i") < F.col("n") - 1) & (after.isNull() | (after != F.col("code"))))
-    bits = F.sum(F.when(open_, F.col("code") + 1).otherwise(0) + F.when(F.col("_last"), F.col("code") + 1).otherwise(0) + F.when(F.col("_first") | F.col("silent").isNotNull(), F.lit(coding.code_bits)).otherwise(0))
-    out = marked.groupBy(*keys).agg(F.count("silent").alias("silent_codes"), F.count_if(F.col("_first")).alias("delta_runs"), F.count_if(open_).alias("deltas_coded"), (bits + coding.head_bits).alias("bits"))
-    return out.withColumn("bytes", F.floor((F.col("bits") + 7) / 8).cast("long"))
+    """(keys, silent_codes, delta_runs, deltas_coded, bits, bytes) of each packet's deltas as coded."""
+    lists = lists_of(rows, keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k in range(b.num_rows):
+                x = packet_arrays(b, k)
+                code, silent, covered = marks(x["width"], x["next"] == 0, coding)
+                own = np.where(covered, -1, code)
+                first, last = (own >= 0) & (own != np.append(-1, own[:-1])), (own >= 0) & (own != np.append(own[1:], -1))
+                last[-1:] = False
+                bits = (code + 1)[~covered].sum() + (code + 1)[last].sum() + coding.code_bits * (first.sum() + (silent >= 0).sum()) + coding.head_bits
+                out.append(((silent >= 0).sum(), first.sum(), (~covered).sum(), bits, (bits + 7) // 8))
+            cells = [pa.array([int(r[k]) for r in out], pa.int64()) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), *cells], names=[*keys, "silent_codes", "delta_runs", "deltas_coded", "bits", "bytes"])
+
+    kinds = ", ".join(f"{c} {lists.schema[c].dataType.simpleString()}" for c in keys)
+    return lists.mapInArrow(run, f"{kinds}, silent_codes long, delta_runs long, deltas_coded long, bits long, bytes long")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.operators.runs import VBR8, Coding
+from cadenza.operators.runs import VBR8, Coding, marks
 
 
 def wrapped(x: np.ndarray, bits: int) -> np.ndarray:
@@ -41,14 +41,6 @@ def delta_values(q: np.ndarray, coding: Coding) -> np.ndarray:
     return d
 
 
-def breaks(ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest break at or before, and at or after, every position."""
-    at = np.arange(n)
-    before = np.maximum.accumulate(np.where(ends, at, -1))
-    after = np.minimum.accumulate(np.where(ends, at, n)[::-1])[::-1]
-    return before, after
-
-
 def fields(q: np.ndarray, coding: Coding) -> tuple[np.ndarray, np.ndarray]:
     """(values, sizes in bits) of everything after the head."""
     d = delta_values(q, coding)
@@ -56,34 +48,24 @@ def fields(q: np.ndarray, coding: Coding) -> tuple[np.ndarray, np.ndarray]:
     if n == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     width = np.clip(np.ceil(np.log2(np.abs(d) + 1)).astype(int) + 1, 3, coding.bits)
-    code = np.full(n, coding.top)
-    for c in range(coding.top, 2, -1):
-        a, b = breaks(width > c, n)
-        code[(width <= c) & (b - a - 1 > coding.least[c - 1])] = c - 1
-    short, long = coding.least[:2]
-    quiet = q[1:] == 0
-    a, b = breaks(~quiet, n)
+    code, silent, covered = marks(width, q[1:] == 0, coding)
     values: list[int] = []
     sizes: list[int] = []
-    i = 0
-    while i < n:
-        if quiet[i]:
-            left = int(b[i]) - i
-            kind = 1 if b[i] == n or left >= long else 0 if left >= short else None
-            if kind is not None:
-                values.append(kind)
-                sizes.append(coding.code_bits)
-                i += coding.least[kind]
-                continue
+    own = np.where(covered, -1, code)
+    starts = np.nonzero((silent >= 0) | (~covered & (own != np.append(-1, own[:-1]))))[0]
+    for i in starts.tolist():
+        if covered[i]:
+            values.append(int(silent[i]))
+            sizes.append(coding.code_bits)
+            continue
         c, end = int(code[i]), i + 1
-        while end < n and code[end] == c and not (quiet[end] and (a[end] == end - 1) and (b[end] == n or b[end] - end >= short)):
+        while end < n and own[end] == c:
             end += 1
         values += [c, *d[i:end].tolist()]
         sizes += [coding.code_bits, *[c + 1] * (end - i)]
         if end < n:
             values.append(1 << c)
             sizes.append(c + 1)
-        i = end
     return np.array(values, np.int64), np.array(sizes, np.int64)
 
 

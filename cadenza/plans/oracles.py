@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.operators import fir
+from cadenza.operators import fir, loudness
 from cadenza.operators.runs import VBR8, VBR12, Coding
 
 EMB = "emb AS (SELECT vec_id AS stream, label, generate_subscripts(embedding, 1) - 1 AS idx, unnest(embedding)::double AS x FROM embeddings)"
@@ -213,6 +213,29 @@ ORACLE["raw_codec"] = f"WITH {SOUND} SELECT file, channel, n, true AS same FROM
 ORACLE["scaled_codec"] = f"WITH {SOUND} SELECT file, channel, n, true AS close FROM so"
 ORACLE["range_coding"] = f"WITH {packed(LI, 'li', 'sample', 256, 8)} SELECT stream, count(*) AS packets, sum(n)::bigint AS symbols, true AS same, true AS whole FROM ps WHERE n > 0 GROUP BY stream"
 
+
+
+def album_loudness() -> str:
+    """Both weighting sections as recurrences over samples, blocks of 320 each 80, gates, and a fourfold sinc for the peak."""
+    (b, a), (c, d) = ([[repr(float(v)) + "::double" for v in row] for row in section] for section in loudness.weighting(800))
+    return f"""WITH RECURSIVE {LI}, s AS MATERIALIZED (SELECT stream, idx::bigint AS idx, sample / 32768::double AS x FROM li), f(stream, idx, x, x1, u, u1, y, y1) AS (
+  SELECT DISTINCT stream, -1::bigint, 0::double, 0::double, 0::double, 0::double, 0::double, 0::double FROM s
+  UNION ALL
+  SELECT stream, idx, xn, x, un, u, {c[0]} * un + {c[1]} * u + {c[2]} * u1 - {d[1]} * y - {d[2]} * y1, y FROM (
+    SELECT s.stream, s.idx, s.x AS xn, f.x, f.u, f.u1, f.y, f.y1, {b[0]} * s.x + {b[1]} * f.x + {b[2]} * f.x1 - {a[1]} * f.u - {a[2]} * f.u1 AS un FROM f JOIN s ON s.stream = f.stream AND s.idx = f.idx + 1)),
+k AS (SELECT stream, y, unnest(range(greatest(0, (idx - 319 + 79) // 80), idx // 80 + 1)) AS k FROM f WHERE idx >= 0),
+p AS (SELECT stream // 10 AS album, avg(y * y) AS p FROM k GROUP BY stream, k HAVING count(*) = 320),
+l AS (SELECT album, p, -0.691 + 10 * log10(p) AS l FROM p WHERE p > 0), g AS (SELECT album, -0.691 + 10 * log10(avg(p)) - 10 AS g FROM l WHERE l > -70 GROUP BY album),
+i AS (SELECT album, round(-0.691 + 10 * log10(avg(p)), 4) AS i FROM l JOIN g USING (album) WHERE l > -70 AND l > g GROUP BY album),
+h AS (SELECT n % 4 AS p, n // 4 AS j, CASE WHEN n = 48 THEN 1 ELSE sin(pi() * (n - 48) / 4) / (pi() * (n - 48) / 4) END * bessel(w) / bessel(1) AS h FROM (SELECT n, sqrt(greatest(0, 1 - pow(2 * n / 96::double - 1, 2))) AS w FROM (SELECT unnest(range(0, 97)) AS n))),
+o AS (SELECT stream, abs(sum(h.h * s.x)) AS v FROM s, h GROUP BY stream, p, s.idx + j), t AS (SELECT stream // 10 AS album, max(v) AS v FROM (SELECT stream, v FROM o UNION ALL SELECT stream, abs(x) FROM s) GROUP BY album),
+n AS (SELECT stream // 10 AS album, count(DISTINCT stream)::int AS tracks FROM s GROUP BY album)
+SELECT n.album::varchar AS album, tracks, i AS integrated_lufs, round(20 * log10(v), 4) AS true_peak_dbtp FROM n JOIN t USING (album) LEFT JOIN i USING (album)""".replace("bessel(w)", BESSEL.format("w")).replace("bessel(1)", BESSEL.format("1"))
+
+
+#: The modified Bessel function of order 0 at 8 times a number, by its series.
+BESSEL = "list_sum(list_transform(range(0, 31), lambda k: pow(pow(4 * {}, k) / factorial(k::int), 2)))"
+ORACLE["album_loudness"] = album_loudness()
 #: The 2X filter h(i, h) by its formula: a sinc under a Kaiser window, of unit sum.
 TWICE = """raw AS (SELECT i, CASE WHEN t = 0 THEN 1 ELSE sin(pi() * t) / (pi() * t) END * list_sum(list_transform(range(0, 31), lambda k: pow(pow(4 * w, k) / factorial(k::int), 2))) AS h
   FROM (SELECT i, (i - 63.5::double) * 20000 / 48000 AS t, sqrt(greatest(0, 1 - pow(2 * i / 127::double - 1, 2))) AS w FROM (SELECT unnest(range(0, 128)) AS i))),

@@ -211,12 +211,12 @@ def silent_runs(spark, sf_dir):
 
 @query
 def payload_bits8(spark, sf_dir):
-    return runs.bit_costs(coded(event_packets(spark, sf_dir), runs.VBR8), KEYS, runs.VBR8)
+    return runs.bit_costs(runs.deltas(event_packets(spark, sf_dir), runs.VBR8), KEYS, runs.VBR8)
 
 
 @query
 def payload_bits12(spark, sf_dir):
-    return runs.bit_costs(coded(event_packets(spark, sf_dir, runs.VBR12), runs.VBR12), KEYS, runs.VBR12)
+    return runs.bit_costs(runs.deltas(event_packets(spark, sf_dir, runs.VBR12), runs.VBR12), KEYS, runs.VBR12)
 
 
 def round_trip(packets, coding):
@@ -429,6 +429,22 @@ def trim_join(spark, sf_dir):
     return loud(spark, sf_dir).select("album").join(trims(old), "album", "left").select("album", F.coalesce("trim_db", F.lit(0.0)).alias("trim_db"))
 
 
+#: Samples a second in the loudness query, so that the tracks have many gating blocks.
+LOUD_RATE = 800
+
+
+@query
+def album_loudness(spark, sf_dir):
+    """Loudness and true peak of albums of ten streams of the prices, blocks pooled over their tracks."""
+    from cadenza.operators import loudness
+
+    whole = signals.prices(spark, sf_dir).groupBy("stream").agg(F.sort_array(F.collect_list(F.struct("idx", "sample"))).alias("s"))
+    sound = F.transform("s.sample", lambda v: v / 32768.0)
+    tracks = whole.select(F.floor(F.col("stream") / 10).cast("string").alias("album"), F.col("stream").cast("string").alias("track"), F.lit(LOUD_RATE).alias("rate"), F.array(sound).alias("channels"))
+    out = loudness.albums(loudness.measured(tracks))
+    return out.select("album", F.size("tracks").alias("tracks"), *[F.round(c, 4).alias(c) for c in ("integrated_lufs", "true_peak_dbtp")])
+
+
 def paths(spark, sf_dir):
     t = spark.read.parquet(f"{sf_dir}/part.parquet")
     k = F.col("p_partkey")

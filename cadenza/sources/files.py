@@ -1,4 +1,4 @@
-"""Files as DataFrames: listing, reading, a data source with pushdown, and sinks.
+"""Files as DataFrames: listing, reading, a data source of frame ranges, and sinks.
 
 ``listed`` and the readers on top go through Spark's own file source, so any
 store that Spark reads will do.  The data sources ``signal`` (read) and
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThanOrEqual, InputPartition, LessThan, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from cadenza.functions.names import has_component, has_extension, parent
 from cadenza.sources import container, sound
@@ -26,7 +26,10 @@ from cadenza.sources import container, sound
 
 def listed(spark: SparkSession, root: str, extension: str | None = None, recursive: bool = True, skip: str | None = None) -> DataFrame:
     """(path, length, modificationTime, content) of files, by extension in any case, without those under a folder named ``skip``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    if extension:  # other files aren't even listed, so their bytes are never read
+        reader = reader.option("pathGlobFilter", "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension))
+    files = reader.load(root)
     if extension:
         files = files.where(has_extension(F.col("path"), extension))
     if skip:
@@ -149,19 +152,8 @@ class _File(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.options, self.low, self.high = options, 0, None
-
-    def pushFilters(self, filters):
-        """Frame ranges are read through the seek table; Spark still checks what it pushed."""
-        for f in filters:
-            if getattr(f, "attribute", None) == ("frame_idx",):
-                if isinstance(f, EqualTo):
-                    self.low, self.high = max(self.low, f.value), f.value + 1
-                elif isinstance(f, GreaterThanOrEqual):
-                    self.low = max(self.low, f.value)
-                elif isinstance(f, LessThan):
-                    self.high = f.value if self.high is None else min(self.high, f.value)
-            yield f
+        self.options = options
+        self.low, self.high = int(options.get("low", 0)), int(options["high"]) if "high" in options else None
 
     def partitions(self):
         root = self.options["path"]
@@ -183,7 +175,12 @@ class _Reader(DataSourceReader):
 
 
 class SignalSource(DataSource):
-    """``spark.read.format("signal").option("part", "header" | "seek" | "packets").load(folder)``."""
+    """``spark.read.format("signal").option("part", "header" | "seek" | "packets").load(folder)``.
+
+    The options ``low`` and ``high`` are a range of frames, the end exclusive; only
+    its bytes are read, by the seek table.  Filters are not pushed down: what one
+    query pushes into a Python source, others on the same DataFrame would get too.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -263,7 +260,6 @@ class FileSink(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make both data sources known, with pushdown of frame ranges."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make both data sources known."""
     spark.dataSource.register(SignalSource)
     spark.dataSource.register(FileSink)

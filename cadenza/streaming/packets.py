@@ -34,7 +34,7 @@ def decimated_stream(packets: DataFrame, kind: str = "decimate4", squelch: bool
         phases, out, early = r.phases(), [], now["early"]
         for pdf in frames:
             early |= {str(s): np.asarray(x, float).tolist() for s, x in zip(pdf["seq"], pdf["samples"], strict=True) if s >= now["next"]}
-            if timed:
+            if timed and len(pdf):  # a stream whose time has run out has no rows
                 now["time"] = max(now.get("time", 0), int(pdf["ts"].max().timestamp() * 1000))
         over = state.hasTimedOut
         while early:
