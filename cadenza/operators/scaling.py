@@ -21,22 +21,30 @@ def scale(samples: Column, full: float = 32767.0) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(255), F.shiftright((peak(samples) / full * 32767).cast("int"), 7)))
 
 
+def beside(values: Column, by: Column) -> Column:
+    """A block's scale once for each of its values: worked out once, where a lambda would do so for every value."""
+    return F.array_repeat(by, F.size(values))
+
+
 def scaled(samples: Column, by: Column, full: float = 32767.0, bits: int = 8) -> Column:
     """Values of 8 or 12 bits of samples whose scale is ``by``."""
     most = 127 if bits == 8 else 2047
-    factor = (F.lit(32767.0) / full) / (by + 1)
 
-    def value(x: Column) -> Column:
-        v = x.cast("double") * factor
+    def value(x: Column, s: Column) -> Column:
+        v = x.cast("double") * ((F.lit(32767.0) / full) / (s + 1))
         return F.greatest(F.lit(-most - (bits == 8)), F.least(F.lit(most), (v if bits == 8 else v * FINER).cast("int")))
 
-    return F.transform(samples, value)
+    return F.zip_with(samples, beside(samples, by), value)
 
 
 def unscaled(values: Column, by: Column, full: float = 32767.0, bits: int = 8) -> Column:
     """Samples, as doubles, of values."""
-    factor = (by + 1) * full / 32767.0
-    return F.transform(values, lambda q: q * factor if bits == 8 else q * factor / FINER)
+
+    def sample(q: Column, s: Column) -> Column:
+        factor = (s + 1) * full / 32767.0
+        return q * factor if bits == 8 else q * factor / FINER
+
+    return F.zip_with(values, beside(values, by), sample)
 
 
 def quantized(blocks: DataFrame, column: str = "samples", full: float = 32767.0, bits: int = 8) -> DataFrame:
