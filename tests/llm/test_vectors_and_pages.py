@@ -200,3 +200,75 @@ def test_token_suffix_ranks():
         shown = [tuple(tokens[k : k + depth].tolist()) for k in range(200)]
         order = sorted(set(shown))
         assert rank.tolist() == [order.index(x) + 1 for x in shown]
+
+
+def test_repeats_decide_prose_of_articles(spark):
+    """A notice that the markup takes for prose goes if it stands in most articles of a host; copies and shared passages stay."""
+    notice = "please read this notice that stands on each page of the host"
+    passage = "a passage that some articles share because they quote the same source"
+    own = lambda k: " ".join(f"own{k}x{j}" for j in range(20))
+    page = lambda *blocks: "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+    rows, want = [], {}
+    for k in range(12):
+        shared = [passage] if k < 5 else []
+        rows.append((k, f"https://a.example/{k}", page(own(k), notice, f"{notice} and more{k}", *shared)))
+        want[k] = "\n\n".join([own(k), f"{notice} and more{k}", *shared])
+        rows.append((100 + k, f"https://copies.example/{k}", page(own(0), notice)))
+        want[100 + k] = f"{own(0)}\n\n{notice}"
+    rows += [(200 + k, f"https://few.example/{k}", page(own(k), notice)) for k in range(9)]
+    want |= {200 + k: f"{own(k)}\n\n{notice}" for k in range(9)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in host_text.extract_text(df).collect()} == want
+    off = {r.page_id: r.text for r in host_text.extract_text(df, repeats=1 << 40).collect()}
+    assert all(f"\n\n{notice}\n\n" in off[k] for k in range(12))
+
+
+def brute_prose(rows, run=host_text.RUN, least=host_text.STANDING, share=host_text.SHARE):
+    """What is left of pages of prose and chrome, by dictionaries of all runs of words of a host's prose."""
+    pages = {(host_of(url), url, html): [t for t, k in host_text.blocks_of(html) if k == host_text.ARTICLE] for _, url, html in rows}
+    runs = lambda words: [tuple(words[k : k + run]) for k in range(len(words) - run + 1)]
+    articles = Counter(host for (host, *_), blocks in pages.items() if blocks)
+    on = Counter((host, x) for (host, *_), blocks in pages.items() for x in set(runs(" ".join(blocks).split())))
+    out = []
+    for i, url, html in rows:
+        host, blocks = host_of(url), pages[(host_of(url), url, html)]
+        words = " ".join(blocks).split()
+        gone = [False] * len(words)
+        for k, x in enumerate(runs(words)):
+            if on[(host, x)] >= max(least, share * articles[host]):
+                gone[k : k + run] = [True] * run
+        whole, at = [], 0
+        for b in blocks:
+            whole.append(all(gone[at : at + len(b.split())]))
+            at += len(b.split())
+        if 2 * sum(len(b.split()) for b, w in zip(blocks, whole, strict=True) if w) > len(words):
+            whole = [False] * len(blocks)
+        out.append((i, url, "\n\n".join(b for b, w in zip(blocks, whole, strict=True) if not w)))
+    return Counter(out)
+
+
+@pytest.mark.parametrize(("bucket", "partitions"), [(256, 3), (3, 3), (256, 60)])
+def test_prose_by_brute_force(spark, monkeypatch, bucket, partitions):
+    """Hosts in one part, in many parts, and in many tasks with a page or two each."""
+    monkeypatch.setattr(host_text, "BUCKET", bucket)
+    rng = random.Random(7)
+    rows = []
+    for h, n in enumerate([70, 40, 23, 12, 10, 9, 1, 1]):
+        pool = [(" ".join(f"p{h}x{j}y{rng.randrange(50)}" for _ in range(rng.randrange(3, 12))), rng.uniform(0.3, 0.9)) for j in range(5)]
+        for k in range(n):
+            blocks = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 60))), *(t for t, often in pool if rng.random() < often)]
+            rng.shuffle(blocks)
+            rows.append((len(rows), f"https://h{h}.example/{k}", "<nav>a menu</nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"))
+    rows += [(1000 + k, f"https://h0.example/none/{k}", "<nav>no article on this page of the host</nav>") for k in range(30)] + rows[:5]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = Counter((r.page_id, r.url, r.text) for r in host_text.extract_text(df).collect())
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    want = brute_prose(rows)
+    assert got == want
+    assert want != brute_prose(rows, least=1 << 40)
