@@ -88,10 +88,42 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 def grams_of(raws: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Every symbol with its context as one number, oldest byte on top; how many symbols each text has."""
     buf, at, sizes = framed(raws, depth)
-    key = np.zeros(len(at), np.int64)
-    for k in range(depth, -1, -1):
-        key = (key << 8) | buf[at - k]
-    return key, sizes
+    key = buf[: len(buf) - depth].astype(np.int64)
+    for k in range(depth - 1, -1, -1):  # over the whole buffer in order, which is faster than to pick each byte
+        key <<= 8
+        key |= buf[depth - k : len(buf) - k]
+    return key[at - depth], sizes
+
+
+class Places:
+    """Where distinct longs stand in an array: a directory of their hashes, as many searches of a sorted array wait for memory."""
+
+    #: Odd, so no two longs share a product, and its top bits tell longs apart that differ anywhere.
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+    #: Steps from a hash's first entry, after which the few that are left are searched for.
+    STEPS = 8
+
+    def __init__(self, keys: np.ndarray):
+        hashes = keys.view(np.uint64) * self.FACTOR
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        bits = len(keys).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.first = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((self.hashes >> self.shift).astype(np.int64), minlength=1 << bits), out=self.first[1:])
+
+    def of(self, asked: np.ndarray) -> np.ndarray:
+        """The place of each; all must be there."""
+        hashes = asked.view(np.uint64) * self.FACTOR
+        at = self.first[(hashes >> self.shift).astype(np.int64)]
+        left = np.flatnonzero(self.hashes[at] != hashes)
+        for _ in range(self.STEPS):
+            if not len(left):
+                break
+            at[left] += 1
+            left = left[self.hashes[at[left]] != hashes[left]]
+        at[left] = np.searchsorted(self.hashes, hashes[left])
+        return self.order[at]
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -474,12 +506,11 @@ def score_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         asked = parts.filter(pc.is_valid(parts["grams"]))
         grams = np.concatenate([unpacked(r.as_py()) for r in asked["grams"]])
         each = np.concatenate([np.frombuffer(r.as_py(), np.float32) for r in asked["scores"]]).astype(np.float64)
-        order = np.argsort(grams)
-        grams, each = grams[order], each[order]
+        places = Places(grams)
         out: tuple[list[np.ndarray], ...] = ([], [], [], [])
         for raws in in_chunks((r for t in home["texts"].drop_null() for r in pickle.loads(zlib.decompress(t.as_py()))), CHUNK):
             key, sizes = grams_of(raws, depth)
-            out[0].append(np.add.reduceat(each[np.searchsorted(grams, key)], np.cumsum(sizes) - sizes))
+            out[0].append(np.add.reduceat(each[places.of(key)], np.cumsum(sizes) - sizes))
             own, words, sizes = words_of(raws)
             c = totals[np.searchsorted(terms, own)]
             first = np.cumsum(sizes) - sizes

@@ -595,6 +595,41 @@ def test_language_scores_keep_every_context(spark, monkeypatch):
     assert all(abs(got[i] - want[i]) < 1e-3 for i in want)
 
 
+def test_places_of_grams_take_less_time_than_a_search():
+    import time
+
+    rng = np.random.default_rng(3)
+    sparse = np.unique(rng.integers(0, 1 << 48, 400_000))
+    tables = [np.array([0]), np.array([-1, 7, 1 << 62]), np.arange(3000), np.arange(3000) << 40, np.arange(5000) * 0x61C8864680B583EB % (1 << 48), np.repeat(sparse[:500], 2)]
+    for keys in tables:
+        keys = rng.permutation(keys)
+        asked = rng.choice(keys, 4000)
+        assert (keys[lm_scoring.Places(keys).of(asked)] == asked).all()
+    # longs whose hashes share their top bits: found by search after some steps
+    crowd = (np.arange(1, 400, dtype=np.uint64) * np.uint64(pow(int(lm_scoring.Places.FACTOR), -1, 1 << 64))).view(np.int64)
+    assert (crowd[lm_scoring.Places(crowd).of(crowd)] == crowd).all()
+    asked, took = rng.choice(sparse, 2_000_000), {}
+    places = lm_scoring.Places(sparse)
+    for name, find in (("search", lambda: np.searchsorted(sparse, asked)), ("places", lambda: places.of(asked))):
+        for _ in range(3):
+            began = time.process_time()
+            found = find()
+            took[name] = min(took.get(name, 1e9), time.process_time() - began)
+        assert (sparse[found] == asked).all()
+    assert took["places"] < took["search"]
+
+
+def test_grams_hold_each_symbol_and_its_context():
+    raws = [b"", b"a", "Über die Brücke".encode(), bytes(range(1, 60))]
+    for depth in (0, 1, 3, 5):
+        got, sizes = lm_scoring.grams_of(raws, depth)
+        want = []
+        for raw in raws:
+            edged = b"\xff" * depth + raw + b"\xff"
+            want += [int.from_bytes(edged[k : k + depth + 1], "big") for k in range(len(raw) + 1)]
+        assert got.tolist() == want and sizes.tolist() == [len(r) + 1 for r in raws]
+
+
 def test_context_tree_is_a_distribution_and_matches_plain_recursion():
     """Predictions of a full tree equal the ratio of weighted probabilities with and without one more symbol."""
     import math
