@@ -143,15 +143,23 @@ def held_out_fold(id_col: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, sample: int) -> Model | None:
-    """The model fitted on rows outside the held-out fold; None if there are no positives or no texts to learn from."""
+def samples(docs: DataFrame, labels: DataFrame, *, id_col: str, label_col: str, sample: int) -> DataFrame:
+    """(id, _p): at most ``sample`` ids of positives (true), and as many of all rows (false), by least hash outside the held-out fold."""
     open_ = ~held_out_fold(F.col(id_col))
-    good = labels.where(open_ & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("_q")).where("_q = 1").select(id_col)
     by_hash = F.xxhash64(F.col(id_col).cast("string"))
     ids = docs.where(open_ & F.col(id_col).isNotNull()).select(id_col)
-    pos = ids.join(good, id_col, "left_semi").distinct().orderBy(by_hash, id_col).limit(sample).withColumn("_p", F.lit(True))
+    # Ids and labels meet in one aggregate: a join of them sorts both sides, in pages of tens of MB for each task.
+    said = labels.where(open_ & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).alias("_q"), F.lit(False).alias("_d"))
+    met = ids.select(id_col, F.lit(None).cast(said.schema["_q"].dataType).alias("_q"), F.lit(True).alias("_d")).unionByName(said)
+    good = met.groupBy(id_col).agg(F.min("_q").alias("_q"), F.max("_d").alias("_d")).where("_q = 1 and _d").select(id_col)
+    pos = good.orderBy(by_hash, id_col).limit(sample).withColumn("_p", F.lit(True))
     unl = ids.distinct().orderBy(by_hash, id_col).limit(sample).withColumn("_p", F.lit(False))
-    chosen = pos.unionByName(unl)  # at most 2 * sample rows, so a broadcast of known size
+    return pos.unionByName(unl)
+
+
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, sample: int) -> Model | None:
+    """The model fitted on rows outside the held-out fold; None if there are no positives or no texts to learn from."""
+    chosen = samples(docs, labels, id_col=id_col, label_col=label_col, sample=sample)  # at most 2 * sample rows, so a broadcast of known size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,8 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, lab
     return fit(x[order[p[order]]].astype(np.float32), x[order[~p[order]]].astype(np.float32))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, threshold: float = 0.7) -> DataFrame:
-    """All columns of ``docs`` with ``_held_out``, ``_score`` (0 to 1) and ``_predicted``.
+def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, threshold: float = 0.7, columns: list[str] | None = None) -> DataFrame:
+    """All columns of ``docs``, or ``columns`` of them, with ``_held_out``, ``_score`` (0 to 1) and ``_predicted``.
 
     ``labels`` holds ids and ``label_col`` of 0 and 1; only rows whose id is not
     in the held-out fold are learned from, and of the labels only who is
@@ -191,8 +199,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     """
     model = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)
     spread = shared(docs.sparkSession, model)
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("_held_out", "_score", "_predicted")], held_out_fold(F.col(f"`{id_col}`")).alias("_held_out"))
-    place = kept.columns.index(text_col)
+    names = [c for c in docs.columns if c not in ("_held_out", "_score", "_predicted") and (columns is None or c in columns)]
+    width = len(names) + 1
+    # A text that isn't asked for goes to Python behind the rest, and not back.
+    sent = docs.select(*[F.col(f"`{c}`") for c in names], held_out_fold(F.col(f"`{id_col}`")).alias("_held_out"), *([] if text_col in names else [F.col(f"`{text_col}`")]))
+    place = sent.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = spread()
@@ -200,7 +211,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 score = sigmoid(m.logits(features(part.column(place).to_pylist()))) if m else np.full(part.num_rows, 0.5)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score.astype(np.float64)), pa.array((score >= threshold).astype(np.int32))], names=[*part.schema.names, "_score", "_predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(score.astype(np.float64)), pa.array((score >= threshold).astype(np.int32))], names=[*part.schema.names[:width], "_score", "_predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{schema}, _score double, _predicted int")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema.fields[:width])
+    return sent.mapInArrow(run, f"{schema}, _score double, _predicted int")

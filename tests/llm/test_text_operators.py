@@ -488,6 +488,38 @@ def test_quality(spark):
     assert pu_quality.score_quality(frame(spark, []).limit(0), lab).collect() == []
 
 
+def test_quality_samples_by_brute_force(spark):
+    """Who is learned from, with ids and labels that repeat, contradict each other or lack the other side; and without a join."""
+    rng = random.Random(11)
+    rows = [(i, "x") for i in (rng.randrange(400) for _ in range(600))] + [(None, "x")]
+    labels = [(i, rng.choice([0, 1, 1, 1, None])) for i in (rng.randrange(100, 600) for _ in range(700))] + [(None, 1)]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    seen = {i for i, _ in rows if i is not None and zlib.crc32(str(i).encode()) % 4 != 2}
+    said = defaultdict(set)
+    for i, q in labels:
+        said[i] |= {q} - {None}
+
+    def least(ids, n):
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+        return sorted(ids, key=lambda i: (signed(xxhash.xxh64_intdigest(str(i), 42)), i))[:n]
+
+    for n in (20, 1000):
+        got = pu_quality.samples(frame(spark, rows), lab, id_col="doc_id", label_col="quality", sample=n)
+        want = [(i, True) for i in least((i for i in seen if said[i] == {1}), n)] + [(i, False) for i in least(seen, n)]
+        assert Counter(map(tuple, got.collect())) == Counter(want)
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quality_returns_the_columns_asked_for(spark):
+    """Texts that aren't asked for don't come back from Python; the scores are the same."""
+    rows = awkward() + [(300 + k, "good words are here " * (k % 7 + 1)) for k in range(40)]
+    lab = spark.createDataFrame([(i, int((i or 0) >= 300)) for i, _ in rows], "doc_id long, quality int")
+    got = pu_quality.score_quality(frame(spark, rows), lab, columns=["doc_id"])
+    assert got.columns == ["doc_id", "_held_out", "_score", "_predicted"]
+    every = pu_quality.score_quality(frame(spark, rows), lab).select(got.columns).collect()
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, every))
+
+
 def brute_features(text):
     """The classifier's numbers of one text, counted one by one."""
     raw = (text or "").encode()
