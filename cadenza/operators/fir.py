@@ -3,8 +3,8 @@
 One closed form covers them all: output m of a filter h that goes up by L and
 down by M sums h[p + L k] x[n - k] over k, with n = floor((m M + d) / L) and
 p = (m M + d) mod L.  It needs no state, only the inputs shortly before, so
-signals are cut into frames and each frame gets the ends of those before it:
-one shuffle by (stream, frame), which splits long signals.
+signals are cut into blocks of frames and each block gets the end of what is before
+it: one shuffle by (stream, block), which splits long signals.
 """
 
 from __future__ import annotations
@@ -111,33 +111,62 @@ def whole(signals: DataFrame, kind: str, column: str = "x") -> DataFrame:
     return signals.mapInArrow(run, f"{schema}, y array<double>")
 
 
-def framed(frames: DataFrame, kind: str, size: int) -> DataFrame:
-    """(stream, frame_idx, first, y) of frames (stream, frame_idx, pcm_start, samples) of at least ``size`` samples.
+#: Inputs of a stream that are filtered together.
+BLOCK = 4096
 
-    Only a stream's last frame may be shorter.  A frame goes to as many
-    later frames as its samples reach.
+
+def framed(frames: DataFrame, kind: str, block: int = BLOCK) -> DataFrame:
+    """(stream, frame_idx, first, y) of frames (stream, frame_idx, pcm_start, samples) of any sizes.
+
+    Frames that begin in the same ``block`` inputs go together.  Of those before
+    it a block gets the samples that it reaches and no others, so what is
+    copied follows the number of blocks, however short some frames are.
     """
     r = RESAMPLERS[kind]
-    reach = -(-r.history // size)
-    copies = frames.select("stream", "pcm_start", "samples", (F.col("frame_idx")).alias("own"), F.explode(F.sequence(F.col("frame_idx"), F.col("frame_idx") + reach)).alias("frame_idx"))
-    parts = copies.groupBy("stream", "frame_idx").agg(F.sort_array(F.collect_list(F.struct("pcm_start", "samples", "own"))).alias("parts"))
-    parts = parts.where(F.exists("parts", lambda p: p["own"] == F.col("frame_idx")))
+    n, end, own = F.size("samples"), F.col("pcm_start") + F.size("samples"), F.floor(F.col("pcm_start") / block)
+    least, most = F.greatest(own + 1, F.floor(end / block)), F.floor((end + (r.history - 1)) / block)
+    reached = F.when((n > 0) & (least <= most), F.sequence(least, most)).otherwise(F.array().cast("array<bigint>"))
+    copies = frames.select("stream", "frame_idx", "pcm_start", "samples", own.alias("own"), F.explode(F.concat(F.array(own), reached)).alias("block"))
+    here = F.col("block") == F.col("own")
+    kept = F.when(here, n).otherwise(F.least(n, r.history - F.greatest(F.lit(0), F.col("block") * block - end))).cast("int")
+    parts = copies.select("stream", "block", F.when(here, F.col("frame_idx")).alias("frame_idx"), (end - kept).alias("pcm_start"), F.when(here, F.col("samples")).otherwise(F.slice("samples", n - kept + 1, kept)).alias("samples"))
+    parts = parts.repartition("stream", "block").sortWithinPartitions("stream", "block", "pcm_start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phases = r.phases()
+        phases, key, tail, tail_end = r.phases(), None, np.empty(0), 0
         for b in batches:
-            out: tuple[list, list] = ([], [])
-            for parts_, frame in zip(b.column("parts").to_pylist(), b.column("frame_idx").to_pylist(), strict=True):
-                start, own = parts_[0]["pcm_start"], next(p for p in parts_ if p["own"] == frame)
-                x = np.concatenate([np.array(p["samples"], float) for p in parts_])
-                end = own["pcm_start"] + len(own["samples"])
-                first = -(-own["pcm_start"] * r.up // r.down)
-                out[0].append(first)
-                out[1].append(apply(x, r, phases, first, -(-end * r.up // r.down), start).tolist())
-            yield pa.RecordBatch.from_arrays([b.column("stream"), b.column("frame_idx"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.float64()))], names=["stream", "frame_idx", "first", "y"])
-
-    kind_ = frames.schema["stream"].dataType.simpleString()
-    return parts.mapInArrow(run, f"stream {kind_}, frame_idx int, first long, y array<double>")
+            keys = list(zip(b.column("stream").to_pylist(), b.column("block").to_pylist(), strict=True))
+            starts, sizes = (np.asarray(c, np.int64) for c in (b.column("pcm_start"), b.column("samples").value_lengths()))
+            values, offsets = np.asarray(b.column("samples").flatten(), float), np.concatenate([[0], np.cumsum(sizes)])
+            own, firsts = np.asarray(b.column("frame_idx").is_valid()), -(-starts * r.up // r.down)
+            counts, ys = -(-(starts + sizes) * r.up // r.down) - firsts, []
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if keys[i] != key:  # else the batch before ended within the block
+                    key, tail, tail_end = keys[i], np.empty(0), int(starts[i])
+                lo, hi = tail_end - len(tail), max(tail_end, int((starts[i:j] + sizes[i:j]).max()))
+                x = np.zeros(hi - lo)
+                x[: len(tail)] = tail
+                x[placed(starts[i:j] - lo, sizes[i:j])] = values[offsets[i] : offsets[j]]
+                tail, tail_end = x[max(0, len(x) - r.history) :], hi
+                if own[i:j].any():
+                    f, c = firsts[i:j][own[i:j]], counts[i:j][own[i:j]]
+                    ys.append(apply(x, r, phases, int(f[0]), int((f + c).max()), lo)[placed(f - f[0], c)])
+            ends = np.concatenate([[0], np.cumsum(counts[own])])
+            y = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0), *ys])))
+            mask = pa.array(own)
+            yield pa.RecordBatch.from_arrays([b.column("stream").filter(mask), b.column("frame_idx").filter(mask), pa.array(firsts[own]), y], names=["stream", "frame_idx", "first", "y"])
+
+    kind_, index = (frames.schema[c].dataType.simpleString() for c in ("stream", "frame_idx"))
+    return parts.mapInArrow(run, f"stream {kind_}, frame_idx {index}, first long, y array<double>")
+
+
+def placed(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices starts[i] to starts[i] + sizes[i] - 1 of all i, one after another."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
 def joined(signals: DataFrame, kind: str) -> DataFrame:

@@ -279,7 +279,7 @@ def fir_frames(spark, sf_dir):
     """The 4X decimator over frames with halos."""
     packed = signals.packets(signals.prices(spark, sf_dir), 64)
     frames_ = packed.select("stream", F.col("packet").alias("frame_idx"), (F.col("packet") * 64).cast("long").alias("pcm_start"), "samples")
-    out = fir.framed(frames_, "decimate4", 64)
+    out = fir.framed(frames_, "decimate4")
     return out.select("stream", F.posexplode("y").alias("k", "y"), "first").select("stream", (F.col("first") + F.col("k")).alias("m"), F.round("y", 3).alias("y"))
 
 

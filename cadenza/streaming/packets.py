@@ -66,15 +66,14 @@ def decimated_stream(packets: DataFrame, kind: str = "decimate4", squelch: bool
 
 
 def decimated_batch(packets: DataFrame, kind: str = "decimate4") -> DataFrame:
-    """The same outputs from a table, by frames with halos."""
+    """The same outputs from a table, by blocks with halos."""
     from pyspark.sql import Window
 
     from cadenza.operators.fir import framed
 
     before = Window.partitionBy("stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     frames = packets.select("stream", F.col("seq").cast("int").alias("frame_idx"), F.coalesce(F.sum(F.size("samples")).over(before), F.lit(0)).cast("long").alias("pcm_start"), "samples")
-    size = packets.agg(F.min(F.size("samples"))).first()[0] or 1
-    return framed(frames, kind, max(1, size)).select("stream", F.col("frame_idx").cast("long").alias("seq"), "first", "y")
+    return framed(frames, kind).select("stream", F.col("frame_idx").cast("long").alias("seq"), "first", "y")
 
 
 def levels_by_minute(events: DataFrame, late: str = "10 minutes") -> DataFrame:

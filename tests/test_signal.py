@@ -143,6 +143,46 @@ def test_blocks_of_any_size_give_the_same_outputs(spark):
         assert np.allclose(np.concatenate([p.y for p in parts]), whole, atol=1e-6)
 
 
+def plan_rows(df, node):
+    """Rows out of the nodes of that name in the plan that has run."""
+    todo, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == node:
+            rows += p.metrics().apply("numOutputRows").value()
+        inner = {"executedPlan": "AdaptiveSparkPlan", "plan": "QueryStage"}
+        todo += [getattr(p, f)() for f, name in inner.items() if name in p.getClass().getSimpleName()]
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["decimate4", "decimate44", "expand4", "none"])
+def test_frames_of_uneven_sizes_are_not_copied_over_and_over(spark, kind):
+    """One short packet, or a large one, makes no more copies of the others; arrow batches may end anywhere."""
+    from cadenza.streaming.packets import decimated_batch
+
+    rng, r = np.random.default_rng(7), fir.RESAMPLERS[kind]
+    sizes = {1: [64] * 200 + [1], 2: [1] * 300 + [9000, 0, 3, 5000, 128], 3: [5], 4: rng.integers(0, 400, 60).tolist(), 5: [4095, 1, 1, 4096, 4096, 2]}
+    parts = {k: [rng.integers(-99, 99, n).astype(float) for n in v] for k, v in sizes.items()}
+    rows = [(k, i, x.tolist()) for k, v in parts.items() for i, x in enumerate(v)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = decimated_batch(spark.createDataFrame(rows, "stream long, seq long, samples array<double>"), kind)
+        got = {(g.stream, g.seq): g for g in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    for k, v in parts.items():
+        x, end = np.concatenate(v), 0
+        want = fir.apply(x, r, r.phases(), 0, -(-len(x) * r.up // r.down))
+        for i, part in enumerate(v):
+            start, end = end, end + len(part)
+            first = -(-start * r.up // r.down)
+            assert got[k, i].first == first and len(got[k, i].y) == -(-end * r.up // r.down) - first, (k, i)
+            assert np.allclose(got[k, i].y, want[first : first + len(got[k, i].y)], atol=1e-9), (k, i)
+    assert len(rows) <= plan_rows(out, "Generate") <= 2 * len(rows)
+
+
 def test_tone_through_the_rational_filter():
     n, rate = 147 * 80, 44_100
     x = 0.5 * np.sin(2 * np.pi * 1000 * np.arange(n) / rate)
